@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, topk
+from . import mixing, quality, sharding, simhash, topk
 from .common import table
 
 
@@ -13,6 +13,14 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), radius=2, size=3)
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), mixing.Mix())
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -22,4 +30,4 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_shards, op7_exact_topk, op8_host_quality)}
+QUERIES = {f.__name__: f for f in (op2_rendezvous_shards, op3_simhash_groups, op5_source_mix, op7_exact_topk, op8_host_quality)}
