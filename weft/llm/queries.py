@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash, topk
+from . import licences, mixing, pii, quality, sharding, simhash, topk
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"), mixing.Mix())
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.col("entities.kind"))), ",").alias("kinds"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -30,4 +35,9 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_shards, op3_simhash_groups, op5_source_mix, op7_exact_topk, op8_host_quality)}
+def op10_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.recognise(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"), F.size("licences").alias("n_licences"))
+
+
+QUERIES = {f.__name__: f for f in (op2_rendezvous_shards, op3_simhash_groups, op5_source_mix, op6_pii_surrogates, op7_exact_topk, op8_host_quality, op10_licence_rules)}

@@ -83,4 +83,51 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from ruled join rates on ruled.source is not distinct from rates.source
 """
 
-ORACLE = {"op2_rendezvous_shards": _OP2, "op7_exact_topk": _OP7, "op8_host_quality": _OP8}
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _licences() -> str:
+    from . import licences as l
+
+    norm = "lower(u)"
+    for pattern, to in l.STEPS:
+        norm = f"regexp_replace({norm}, {_quoted(pattern)}, {_quoted(to.replace('{1}', chr(92) + '1').replace('{2}', chr(92) + '2'))}, 'g')"
+    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in l.catalogue().items())
+    rules = ", ".join(f"({i}, {_quoted(name)}, {_quoted(';' + ';'.join(seq) + ';')})" for i, (name, seq) in enumerate(l.RULES))
+    ends = r"regexp_replace(%s, '([.!?;:])\s+', '\1' || chr(1), 'g')"
+    wrapped = f"regexp_replace(regexp_replace(t, {_quoted(l.EMPTY_LINE)}, '.' || chr(10), 'g'), {_quoted(l.BREAK)}, ' ', 'g')"
+    return f"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_replace(coalesce(text, ''), {_quoted(l.LABEL)}, '\\1', 'g') as t from documents),
+flagged as (
+  select * from docs where regexp_matches(t, {_quoted(l.KEYWORDS)})),
+known(u, id) as (values {known}),
+rules(n, name, seq) as (values {rules}),
+units as (
+  select r, 0 as view, i, j, u from (
+    select r, i, unnest(s) as u, generate_subscripts(s, 1) as j from (
+      select r, i, string_split({ends % 'l'}, chr(1)) as s from (
+        select r, unnest(string_split(t, chr(10))) as l, generate_subscripts(string_split(t, chr(10)), 1) as i from flagged)))
+  union all
+  select r, 1, 1, generate_subscripts(s, 1), unnest(s) from (
+    select r, string_split({ends % wrapped}, chr(1)) as s from flagged)),
+found as (
+  select r, view, list(id order by i, j) as ids from (select r, view, i, j, trim({norm}) as u from units where regexp_matches(u, {_quoted(l.KEYWORDS)})) join known using (u)
+  group by r, view),
+best as (
+  select r, first(ids order by len(ids) desc, view) as ids from found group by r),
+hits as (
+  select r, n, name, seq from best, rules where contains(';' || array_to_string(ids, ';') || ';', seq)),
+names as (
+  select r, name, min(n) as n from hits h
+  where not exists (select 1 from hits g where g.r = h.r and g.seq <> h.seq and contains(g.seq, h.seq)) group by r, name),
+listed as (
+  select r, string_agg(name, ',' order by n) as licences, count(*) as k from names group by r)
+select doc_id, coalesce(array_to_string(ids, ','), '') as sentence_ids, coalesce(licences, '') as licences, coalesce(k, 0)::int as n_licences
+from docs left join best using (r) left join listed using (r)
+"""
+
+
+ORACLE = {"op2_rendezvous_shards": _OP2, "op7_exact_topk": _OP7, "op8_host_quality": _OP8, "op10_licence_rules": _licences()}
