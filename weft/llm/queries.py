@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, pii, quality, sharding, simhash, topk
+from . import licences, mixing, pieces, pii, quality, sharding, simhash, tokens, topk
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), radius=2, size=3)
 
 
+def op4_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.attribute_tokens(table(spark, sf_dir, "documents"), rule="first")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"), mixing.Mix())
 
@@ -35,9 +39,13 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licences.recognise(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"), F.size("licences").alias("n_licences"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_shards, op3_simhash_groups, op5_source_mix, op6_pii_surrogates, op7_exact_topk, op8_host_quality, op10_licence_rules)}
+QUERIES = {f.__name__: f for f in (op2_rendezvous_shards, op3_simhash_groups, op4_section_tokens, op5_source_mix, op6_pii_surrogates, op7_exact_topk, op8_host_quality, op9_piece_codes, op10_licence_rules)}
