@@ -226,13 +226,13 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", sourc
     """The mix as documents: for each pass, what it takes of each row, with the row's other columns.
 
     A document whole in a pass keeps its text byte for byte; of a document cut by a block only the taken words
-    stay.  ``n_chars`` names a column to hold the length of the new text.
+    stay.  Rows alike in id and text are told apart by their places only.  ``n_chars`` names a column to hold the length of the new text.
     """
     spans, _ = mix_spans(docs, mix, doc_id, source, text)
-    pieces = spans.groupBy("id", "h", "s", "start", "turn").agg(F.collect_list(F.struct("from_word", "n_words")).alias("__spans")).drop("s", "start", "turn")
+    pieces = spans.groupBy(F.xxhash64("id", "h").alias("__k"), "s", "start", "turn").agg(F.collect_list(F.struct("from_word", "n_words")).alias("__spans")).select("__k", "__spans")
     schema = docs.schema
-    once = docs.withColumns({"__id": F.col(doc_id), "__h": F.xxhash64(F.col(text))}).dropDuplicates(["__id", "__h"])
-    joined = once.join(pieces, (F.col("__h") == F.col("h")) & F.col("__id").eqNullSafe(F.col("id"))).select(*(F.col(f"`{c}`") for c in docs.columns), "__spans")
+    once = docs.withColumn("__k", F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text)))).dropDuplicates(["__k"])
+    joined = once.join(pieces, "__k").select(*(F.col(f"`{c}`") for c in docs.columns), "__spans")
     names = list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,14 +132,16 @@ def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndar
 
 def base_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` and the base counts of each whole text; a null text has no words."""
+    column = text if text in keep else "__text"
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.select(*keep).schema)}, {FEATURES}"
 
     def run(batches):
-        for piece in slices(batches, "__text"):
-            got = features(piece.column("__text"))
+        for piece in slices(batches, column):
+            got = features(piece.column(column))
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *(pa.array(v, pa.int64()) for v in got.values())], [*keep, *got])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    own = [] if text in keep else [F.col(text).alias(column)]
+    return docs.select(*keep, *own).mapInArrow(run, schema)
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:

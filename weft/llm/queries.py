@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, pieces, pii, quality, sharding, simhash, tokens, topk
+from . import licences, mixing, pieces, pii, quality, sharding, simhash, tokens, topk, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -48,4 +52,10 @@ def op10_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"), F.size("licences").alias("n_licences"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_shards, op3_simhash_groups, op4_section_tokens, op5_source_mix, op6_pii_surrogates, op7_exact_topk, op8_host_quality, op9_piece_codes, op10_licence_rules)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_rendezvous_shards, op3_simhash_groups, op4_section_tokens, op5_source_mix, op6_pii_surrogates, op7_exact_topk, op8_host_quality, op9_piece_codes, op10_licence_rules, pipeline)}

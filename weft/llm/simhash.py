@@ -288,6 +288,17 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def near_members(docs: DataFrame, radius: int, size: int, doc_id: str, text: str) -> DataFrame:
+    """id, h (hash of the text), fp, root (the least fingerprint of its group) and component_id of every row."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    rows = materialize(with_fingerprint(rows, ["id", "h"], "t", size), "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
+    stars = components(near_links(nodes, radius))
+    rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_groups(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id linked directly or through others.
 
@@ -296,10 +307,16 @@ def near_groups(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "
     * Rows with a null doc_id get a component as all do; component_id is null only where no doc_id is known in it.
       Repeated rows stay, each with its group.  No rows give an empty result.  Other columns are not read.
     """
-    rows = materialize(with_fingerprint(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")), ["id"], "t", size), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
-    stars = components(near_links(nodes, radius))
-    rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp", "left").select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = near_members(docs, radius, size, doc_id, text)
+    return rows.select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: the smallest doc_id, null last, then the smallest text hash.
+
+    Only ids, hashes and fingerprints are grouped; the texts move once, by a hash of doc_id and text, to meet them.
+    """
+    rows = near_members(docs, radius, size, doc_id, text)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("k")).select(F.xxhash64("k.id", "k.h").alias("__k"))
+    once = docs.withColumn("__k", F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text)))).dropDuplicates(["__k"])
+    return once.join(first, "__k", "left_semi").drop("__k")
