@@ -1,0 +1,12 @@
+"""Named queries: each is a function (spark, sf_dir) and, where SQL can say it, its DuckDB statement."""
+
+from __future__ import annotations
+
+from . import corpus
+
+
+def registry() -> dict[str, tuple]:
+    out: dict[str, tuple] = {}
+    for module in (corpus,):
+        out |= module.Q
+    return out
