@@ -189,7 +189,8 @@ def mix_spans(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source:
     length, end = F.lit(mix.block).cast("long"), F.col("start") + F.col("size")
     held = known.where("size > 0").select("s", "start", "id", "h", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))).alias("block"))
     lo = F.greatest(F.col("start"), F.col("block") * length)
-    spans = held.join(slot_table(pieces, mix), ["s", "block"])
+    # the plan of the slots looks small to the optimiser, but the slots grow with the words: never broadcast them
+    spans = held.hint("merge").join(slot_table(pieces, mix), ["s", "block"])
     spans = spans.withColumn("n_words", F.least(F.col("end"), F.col("block") * length + F.col("taken")) - lo).where("n_words > 0")
     return spans.select("shard", "slot", "turn", "block", "s", "start", "id", "h", (lo - F.col("start")).alias("from_word"), "n_words"), known
 
