@@ -149,15 +149,20 @@ def domain_matches(found: Column, wanted: Column) -> Column:
 
 def resolve(href: Column, base: Column) -> Column:
     """Absolute form of a link on a page: absolute, protocol-relative, root-relative, query, or relative to the page's folder."""
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    joined = F.regexp_replace(F.regexp_replace(F.concat(folder, F.regexp_replace(href, r"^(\./)+", "")), r"/[^/]+/\.\./", "/"), r"/\./", "/")
-    return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin(base), href))
-        .when(href.startswith("?"), F.concat(origin(base), path(base), href))
-        .otherwise(F.concat(origin(base), joined))
-    )
+
+    def joined(b: Column) -> Column:
+        folder = F.regexp_replace(b["path"], r"[^/]*$", "")
+        relative = F.regexp_replace(F.regexp_replace(F.concat(folder, F.regexp_replace(b["href"], r"^(\./)+", "")), r"/[^/]+/\.\./", "/"), r"/\./", "/")
+        return (
+            F.when(b["href"].rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), b["href"])
+            .when(b["href"].startswith("//"), F.concat(b["scheme"], F.lit(":"), b["href"]))
+            .when(b["href"].startswith("/"), F.concat(b["origin"], b["href"]))
+            .when(b["href"].startswith("?"), F.concat(b["origin"], b["path"], b["href"]))
+            .otherwise(F.concat(b["origin"], relative))
+        )
+
+    parts = F.struct(href.alias("href"), path(base).alias("path"), scheme(base).alias("scheme"), origin(base).alias("origin"))
+    return F.element_at(F.transform(F.array(parts), joined), 1)
 
 
 def hash16(url: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import corpus
+from . import corpus, history, links, research, search, site
 
 
 def registry() -> dict[str, tuple]:
     out: dict[str, tuple] = {}
-    for module in (corpus,):
+    for module in (corpus, search, site, links, history, research):
         out |= module.Q
     return out
