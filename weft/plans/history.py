@@ -57,8 +57,8 @@ Q["retention"] = (
     "select event_id, user_id, nth::int as nth from (select *, row_number() over w as nth, sum(value) over (partition by user_id order by ts desc, event_id desc rows between unbounded preceding and current row) as held from events window w as (partition by user_id order by ts desc, event_id desc)) where nth <= 20 and ts >= timestamp '2024-01-10 00:00:00' and held <= 1500",
 )
 Q["running_average"] = (
-    lambda s, d: events(s, d).select("event_id", F.round(F.avg("value").over(_by_user().rowsBetween(W.unboundedPreceding, 0)), 6).alias("running")),
-    "select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), 6) as running from events",
+    lambda s, d: events(s, d).select("event_id", F.round(F.sum("value").over(_by_user().rowsBetween(W.unboundedPreceding, 0)), 4).alias("running_sum"), F.count("*").over(_by_user().rowsBetween(W.unboundedPreceding, 0)).alias("running_n")),
+    "select event_id, round(sum(value) over w, 4) as running_sum, count(*) over w as running_n from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)",
 )
 
 
