@@ -326,6 +326,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, setting: Training = Trai
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([head.tobytes()])], ["w", "h"])
 
     fitted = materialize(sample(docs, labels, setting, doc_id, text).repartition(1).mapInArrow(fit, "w binary, h binary"), "toxicity").first()
+    if fitted is None:  # no labelled rows reached the task
+        table, head = train([], [])
+        fitted = {"w": table.tobytes(), "h": head.tobytes()}
     model = docs.sparkSession.sparkContext.broadcast((bytes(fitted["w"]), bytes(fitted["h"])))
     kind = docs.schema[doc_id].dataType.simpleString()
 
