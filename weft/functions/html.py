@@ -79,7 +79,7 @@ def description(html: Column) -> Column:
 
 
 def keywords(html: Column) -> Column:
-    return F.filter(F.transform(F.split(meta(html, "keywords"), ","), F.trim), lambda k: k != "")
+    return F.filter(F.transform(F.split(meta(html, "keywords"), ","), lambda k: F.trim(k)), lambda k: k != "")
 
 
 def canonical(html: Column) -> Column:
@@ -133,7 +133,7 @@ def anchors(html: Column) -> Column:
 def json_ld(html: Column) -> Column:
     """The JSON-LD blocks that parse, as text."""
     blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""), F.lit(1))
-    return F.filter(F.transform(blocks, F.trim), lambda b: F.try_parse_json(b).isNotNull())
+    return F.filter(F.transform(blocks, lambda b: F.trim(b)), lambda b: F.try_parse_json(b).isNotNull())
 
 
 def element_counts(html: Column, names: tuple[str, ...] = ("p", "a", "img", "h1", "h2", "li", "table", "form")) -> dict[str, Column]:

@@ -71,7 +71,7 @@ def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
     """host, allow and prefix of the rules for an agent."""
     sections = F.filter(F.split(F.col("body"), r"(?im)^(?=\s*user-agent:)"), lambda s: F.lower(F.trim(F.regexp_extract(s, r"(?im)^\s*user-agent:\s*(\S+)", 1))) == agent.lower())
     line = robots.select("host", F.explode(sections).alias("s")).select("host", F.explode(F.regexp_extract_all("s", F.lit(r"(?im)^\s*(?:dis)?allow:[ \t]*\S+"), F.lit(0))).alias("l"))
-    return line.select("host", ~F.lower(F.col("l")).rlike(r"^\s*disallow") .alias("allow"), F.trim(F.regexp_extract("l", r":\s*(\S+)", 1)).alias("prefix"))
+    return line.select("host", (~F.lower(F.col("l")).rlike(r"^\s*disallow")).alias("allow"), F.trim(F.regexp_extract("l", r":\s*(\S+)", 1)).alias("prefix"))
 
 
 def allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
