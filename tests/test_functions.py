@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weft.functions import dom, html, similarity, text, urls
-from weft.operators import graph, ranking
+from weft.functions import dom, html, locale, similarity, text, urls
+from weft.operators import expansion, graph, ranking, records
 from weft.operators.extract import extract
 from weft.sources import feeds
 from weft.streaming import events
@@ -173,3 +173,25 @@ def test_streams_equal_a_replay(spark, tmp_path):
     out = events.run_available(events.stateful(events.read_events(spark, str(tmp_path / "e")), events.throttle(600_000), "user_id"), str(tmp_path))
     want = sum((["sent"] for u in range(3) for x in replay(events.throttle(600_000), [60_000.0 * i for i in range(u, 60, 3)]) if x == "sent"), [])
     assert out.count() == len(want)
+
+
+def test_sentences_go_on_after_abbreviations(spark):
+    assert value(spark, text.sentences_merged, "Dr. Smith met Mr. Jones. They use v2.0. today! Fine") == ["Dr. Smith met Mr. Jones.", "They use v2.0. today!", "Fine"]
+
+
+def test_expansion():
+    got = expansion.expand("fast guide", most=50)
+    assert got[0] == "fast guide" and got[1:5] == ["quick guide", "rapid guide", "fast tutorial", "fast manual"] and "fast AND guide" in got and '"fast guide"~5' in got and len(set(got)) == len(got)
+    assert expansion.expand("teh price", most=3)[2] == "the price" and len(expansion.expand("a b c")) <= 5
+    with pytest.raises(ValueError):
+        expansion.expand(" ")
+
+
+def test_records(spark):
+    jobs = spark.createDataFrame([("a", "COMPLETED", 1, [], 1), ("b", "PENDING", 1, ["a"], 2), ("c", "PENDING", 5, ["b"], 3), ("d", "PENDING", 9, [], 4)], "id string, status string, priority int, dependencies array<string>, created_at long")
+    assert [r.id for r in records.ready(jobs).collect()] == ["d", "b"]
+    snaps = records.store_snapshots(spark.createDataFrame([("u", 1000 * i, "x" * i, "t") for i in range(5)] + [("v", 9, None, "t")], "url string, timestamp long, content string, content_type string"))
+    assert [r.timestamp for r in records.query_snapshots(snaps, url="u", start=1000, limit=2, offset=1).collect()] == [3000, 2000]
+    assert records.retained(snaps, 5000, most=2).count() == 3 and records.retained(snaps, 5000, bytes_=0).count() == 0
+    row = spark.range(1).select(*(records.backoff(F.lit(3), s).alias(s) for s in ("linear", "exponential", "fibonacci", "fixed")), records.retryable(F.lit("X"), F.lit(None).cast("int"), F.lit("a timeout b")).alias("r"), locale.country_of(F.lit("https://a.de/")).alias("c"), records.health(F.array(F.lit("healthy"), F.lit("warning"))).alias("h")).first()
+    assert tuple(row) == (4000.0, 8000.0, 3000.0, 1000.0, True, "DE", "warning")

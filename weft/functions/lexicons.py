@@ -101,3 +101,6 @@ DOCUMENT_FILES = "pdf doc docx txt csv xml".split()
 
 # fixed values: upper bounds of latency buckets in milliseconds
 LATENCY_BOUNDS = [10, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000]
+
+# fixed values: abbreviations that do not end a sentence
+ABBREVIATIONS = "mr mrs ms dr prof sr jr st ave blvd vs etc inc ltd corp dept univ assn approx appt apt est min max govt lib misc natl intl jan feb mar apr jun jul aug sep oct nov dec mon tue wed thu fri sat sun fig eq ref vol no pp ed rev e i".split()

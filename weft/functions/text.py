@@ -47,6 +47,23 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
+def sentences_merged(text: Column) -> Column:
+    """Sentences; a piece that ends in an abbreviation, an initial or a word with a period inside goes on in the next."""
+
+    def ends(piece: Column) -> Column:
+        last = F.element_at(F.split(F.regexp_replace(piece, r"[.!?]\s*$", ""), r"\s+"), -1)
+        bare = F.regexp_replace(F.lower(last), "[^a-z]", "")
+        return piece.rlike(r"[.!?]\s*$") & ~(bare.isin(*L.ABBREVIATIONS) | last.rlike(r"[A-Za-z0-9_]\.[A-Za-z0-9_]") | last.rlike(r"^[A-Z]\.$"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        joined = F.when(acc["open"] != "", F.concat(acc["open"], F.lit(" "), piece)).otherwise(piece)
+        return F.struct(F.when(ends(joined), F.concat(acc["done"], F.array(F.trim(joined)))).otherwise(acc["done"]).alias("done"), F.when(ends(joined), "").otherwise(joined).alias("open"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    out = F.aggregate(F.split(text, r"(?<=[.!?])\s+"), start, add, lambda a: F.when(F.trim(a["open"]) != "", F.concat(a["done"], F.array(F.trim(a["open"])))).otherwise(a["done"]))
+    return F.filter(out, lambda s: s != "")
+
+
 def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, r"\n\s*\n"), lambda p: p.rlike(r"\S"))
 

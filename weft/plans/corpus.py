@@ -251,3 +251,4 @@ Q["turn_statistics"] = (
     lambda spark, sf_dir: table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_distinct("role").alias("roles"), F.sum(T.n_words(X())).alias("words"), F.max_by(F.md5("text"), "turn").alias("last_md5")),
     f"select conv_id, count(*) as turns, count(distinct role) as roles, sum(len({WORDS}))::bigint as words, max_by(md5(text), turn) as last_md5 from conversations group by conv_id",
 )
+Q["sentence_counts"] = (lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", F.size(T.sentences_merged(X())).alias("n")), None)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import lexicons as L
+from ..functions import locale
 from ..functions import similarity as S
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import ranking as R
+from ..operators.llms_txt import llms_txt
 from ..sources.tables import links, table, versions
 
 Q: dict[str, tuple] = {}
@@ -232,3 +234,8 @@ Q["batch_fetch"] = (
     lambda s, d: s.range(0, 400).select(F.col("id").alias("page_id")).join(pages(s, d), "page_id", "left").select("page_id", F.col("url").isNotNull().alias("success"), F.when(F.col("url").isNull(), "not found").alias("error"), F.octet_length("html").alias("bytes")),
     "select r.page_id, url is not null as success, case when url is null then 'not found' end as error, octet_length(encode(html))::int as bytes from (select unnest(range(400)) as page_id) r left join pages using (page_id)",
 )
+Q["llms_txt"] = (lambda s, d: llms_txt(pages(s, d)), None)
+Q["countries"] = (
+    lambda s, d: table(s, d, "nation").select("n_nationkey", F.element_at(F.array(*(F.lit(r[0]) for r in locale.rows())), F.col("n_nationkey") + 1).alias("country")).join(locale.countries(s), "country").select("n_nationkey", "country", "currency", locale.number_format(F.col("country")).alias("number_format"), locale.date_format(F.col("country")).alias("date_format"), locale.first_day_of_week(F.col("country")).alias("first_day")),
+    "with c(k, country, currency, date_format) as (values " + ", ".join(f"({i}, '{r[0]}', '{r[2]}', '{r[6]}')" for i, r in enumerate(locale.rows())) + ") select n_nationkey, country, currency, case country when 'DE' then '1.234,56' when 'FR' then '1 234,56' else '1,234.56' end as number_format, date_format, case country when 'US' then 0 else 1 end::int as first_day from nation join c on k = n_nationkey",
+)
