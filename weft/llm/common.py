@@ -65,7 +65,19 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batches, column: str, most: int = 2 << 20):
+#: Rows of an Arrow batch of texts: bounds what the JVM, the socket and the worker hold of one batch.
+BATCH_ROWS = 512
+
+
+def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` over rows with texts, in batches of ``BATCH_ROWS`` rows at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "0")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+def slices(batches, column: str, most: int = 1 << 20):
     """Cut record batches so that each piece holds at most ``most`` bytes of ``column``, one row at least."""
     for batch in batches:
         if not batch.num_rows:

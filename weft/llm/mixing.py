@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, utf8, words
+from .common import WORD, map_texts, materialize, utf8, words
 
 #: A source is a row of a catalogue that the driver plans over; more sources than this raise an error.
 MAX_SOURCES = 100_000
@@ -246,4 +246,4 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", sourc
                     made[n_chars] = pa.array([len(x) for x in got], pa.int64())
                 yield pa.RecordBatch.from_arrays([made.get(c, piece.column(c)) for c in names], names)
 
-    return joined.mapInArrow(run, schema)
+    return map_texts(joined, run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import powers, slices
+from .common import map_texts, powers, slices
 
 SPACE = "▁"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -28,7 +28,7 @@ _SMALL = 0x250
 #: Words longer than this are merged one by one with a heap.
 LONG = 48
 #: Words a worker remembers.
-CACHE = 200_000
+CACHE = 120_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -316,14 +316,14 @@ def encode_texts(docs: DataFrame, model_file: str | None = None, doc_id: str = "
     * A null or empty text has no pieces and round_trip is true for the empty one, null for null.  A text that
       holds U+2581 decodes with spaces in its place, so its round_trip is false.
     * Repeated rows and a null doc_id stay as they are.  No rows give an empty result.  Other columns are not read.
-    * Row by row: no shuffle, one piece of about 1 MB of text (or one longer text) in memory.
+    * Row by row: no shuffle, one piece of about 256 KB of text (or one longer text) in memory.
     """
     data = docs.sparkSession.sparkContext.broadcast(vocab.read(model_file, "piece_bpe_32k.model"))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(data.value)
-        for piece in slices(batches, "t", 1 << 20):
+        for piece in slices(batches, "t", 1 << 18):
             texts = piece.column("t").to_pylist()
             ids, count = m.encode(texts)
             raw, at = m.decode(ids, count)
@@ -332,7 +332,7 @@ def encode_texts(docs: DataFrame, model_file: str | None = None, doc_id: str = "
             yield pa.RecordBatch.from_arrays([piece.column("id"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(count, pa.int64()), pa.array(same, pa.bool_())], [doc_id, "ids", "n_pieces", "round_trip"])
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"`{doc_id}` {kind}, ids array<int>, n_pieces long, round_trip boolean")
+    return map_texts(rows, run, f"`{doc_id}` {kind}, ids array<int>, n_pieces long, round_trip boolean")
 
 
 def decode_ids(rows: DataFrame, model_file: str | None = None, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
@@ -349,4 +349,4 @@ def decode_ids(rows: DataFrame, model_file: str | None = None, keep: tuple[str,
             texts = [raw[a:b].tobytes().decode("utf-8", "replace") if ok else None for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), col.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
-    return rows.select(*keep, F.col(ids).alias("__ids")).mapInArrow(run, schema)
+    return map_texts(rows.select(*keep, F.col(ids).alias("__ids")), run, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, materialize, powers, slices, utf8, words
+from .common import SpanHashes, map_texts, materialize, powers, slices, utf8, words
 
 WINDOW = 8
 _SYMBOL = np.zeros(256, bool)
@@ -141,7 +141,7 @@ def base_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *(pa.array(v, pa.int64()) for v in got.values())], [*keep, *got])
 
     own = [] if text in keep else [F.col(text).alias(column)]
-    return docs.select(*keep, *own).mapInArrow(run, schema)
+    return map_texts(docs.select(*keep, *own), run, schema)
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:

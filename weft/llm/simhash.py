@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, materialize, slices, utf8, words
+from .common import _SPACE, map_texts, materialize, slices, utf8, words
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -129,7 +129,7 @@ def with_fingerprint(docs: DataFrame, keep: list[str], text: str = "text", size:
             got = fingerprints(piece.column("__text"), size).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(got, pa.int64())], [*keep, name])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return map_texts(docs.select(*keep, F.col(text).alias("__text")), run, schema)
 
 
 class BKTree:

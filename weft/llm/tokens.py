@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import slices, utf8
+from .common import map_texts, slices, utf8
 
 RULES = ("first", "last", "most", "split")
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -119,4 +119,4 @@ def attribute_tokens(docs: DataFrame, vocabulary: str | None = None, rule: str =
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, kinds.get(k, pa.int64())) for k, v in got.items())], [doc_id, *got])
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"`{doc_id}` {kind}, section int, from_char long, to_char long, tokens double, crossing long")
+    return map_texts(rows, run, f"`{doc_id}` {kind}, section int, from_char long, to_char long, tokens double, crossing long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, materialize, slices
+from .common import SpanHashes, map_texts, materialize, slices
 
 ORDER, SPAN, DECAY, SYMBOLS = 4, 6, 0.6, 32
 OFFSETS = list(itertools.combinations(range(1, SPAN), ORDER - 1))
@@ -334,9 +334,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, setting: Training = Trai
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, head = np.frombuffer(model.value[0], np.float32), np.frombuffer(model.value[1], np.float64)
-        for piece in slices(batches, "t", 1 << 20):
+        for piece in slices(batches, "t", 1 << 19):
             yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(score_texts(piece.column("t").to_pylist(), table, head))], [doc_id, "score"])
 
-    scored = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"`{doc_id}` {kind}, score double")
+    scored = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
+    scored = map_texts(scored, run, f"`{doc_id}` {kind}, score double")
     held = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
     return scored.select(doc_id, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
