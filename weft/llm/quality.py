@@ -144,19 +144,23 @@ def base_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     return map_texts(docs.select(*keep, *own), run, schema)
 
 
-def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """Alpha and beta of the hosts' failure rates by the method of moments; four sums reach the driver.
+#: Hosts up to this number (some MB) are broadcast to meet their documents; beyond it both sides are shuffled.
+BROADCAST_HOSTS = 50_000
+
+
+def beta_prior(hosts: DataFrame) -> tuple[float, float, int]:
+    """Alpha and beta of the hosts' failure rates by the method of moments, and the number of hosts; four sums reach the driver.
 
     Each host weighs as its rows.  Where rates do not vary beyond chance the prior is worth the documents of
     a mean host.
     """
     m = hosts.agg(F.sum("failed").alias("f"), F.sum("n").alias("n"), F.count("*").alias("h"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("s")).first()
     if not m["n"]:
-        return 1.0, 1.0
+        return 1.0, 1.0, 0
     p, mean = m["f"] / m["n"], m["n"] / m["h"]
     between = m["s"] / m["n"] - p * p - p * (1 - p) / mean
     size = min(mean, max(1.0, p * (1 - p) / between - 1)) if between > 1e-9 else mean
-    return p * size, (1 - p) * size
+    return p * size, (1 - p) * size, m["h"]
 
 
 def verdicts(docs: DataFrame, host: str = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: Thresholds = Thresholds()) -> DataFrame:
@@ -180,8 +184,9 @@ def verdicts(docs: DataFrame, host: str = "source", text: str = "text", keep: tu
     soft = (F.col("n_symbols") > rules.soft_symbols * n) | (F.col("n_dup_lines") > rules.soft_dup_lines * n) | (F.col("n_repeat_words") > rules.soft_repeat * n) | (length < rules.soft_word_chars[0]) | (length > rules.soft_word_chars[1])
     rows = rows.withColumn("base_failed", base).withColumn("gross_failed", gross).withColumn("soft_failed", base | gross | soft)
     hosts = rows.groupBy("__host").agg(F.count("*").alias("n"), F.sum(F.col("soft_failed").cast("long")).alias("failed"))
-    alpha, beta = beta_prior(hosts)
+    alpha, beta, n_hosts = beta_prior(hosts)
     hosts = hosts.select(F.col("__host").alias("__h"), ((F.col("failed") + alpha) / (F.col("n") + alpha + beta)).alias("host_rate"))
+    hosts = F.broadcast(hosts) if n_hosts <= BROADCAST_HOSTS else hosts
     judged = rows.join(hosts, F.col("__host").eqNullSafe(F.col("__h")), "left").drop("__host", "__h")
     judged = judged.withColumn("host_rejected", F.col("host_rate") >= rules.host_rate)
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("gross_failed") & ~(F.col("soft_failed") & F.col("host_rejected")))
