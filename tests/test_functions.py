@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import dom, html, locale, similarity, text, urls
-from weft.operators import expansion, graph, ranking, records
+from weft.operators import branding, expansion, graph, ranking, ranks, records, templates, vectors
 from weft.operators.extract import extract
 from weft.sources import feeds
 from weft.streaming import events
@@ -195,3 +195,28 @@ def test_records(spark):
     assert records.retained(snaps, 5000, most=2).count() == 3 and records.retained(snaps, 5000, bytes_=0).count() == 0
     row = spark.range(1).select(*(records.backoff(F.lit(3), s).alias(s) for s in ("linear", "exponential", "fibonacci", "fixed")), records.retryable(F.lit("X"), F.lit(None).cast("int"), F.lit("a timeout b")).alias("r"), locale.country_of(F.lit("https://a.de/")).alias("c"), records.health(F.array(F.lit("healthy"), F.lit("warning"))).alias("h")).first()
     assert tuple(row) == (4000.0, 8000.0, 3000.0, 1000.0, True, "DE", "warning")
+
+
+def test_branding_and_templates(spark):
+    page = "<meta name='theme-color' content='#123'><style>:root{--main:#ABCDEF;--main:#000} a{color:#abcdef;font-family:'Open Sans', serif} b{color:rgb(1,2,3)}</style><article><h1>T</h1><p>a</p><p>b</p></article>"
+    pages = spark.createDataFrame([(1, "https://x.y/", page), (2, "https://z.w/", None)], "page_id long, url string, html string")
+    assert [(r.color, r.n, r.source) for r in branding.colors(pages).orderBy("rank").collect()] == [("#abcdef", 2, "css-var"), ("#000000", 1, "css-var"), ("#112233", 1, "theme-color"), ("#010203", 1, "declaration")]
+    assert [r.font for r in branding.fonts(pages).collect()] == ["Open Sans"] and [(r.name, r.value) for r in branding.variables(pages).collect()] == [("--main", "#ABCDEF")]
+    templates.register("site", ("x.y",), {"title": "h1", "parts": "p"})
+    got = templates.run(pages, "site").collect()
+    assert len(got) == 1 and got[0].fields == '{"title": "T", "parts": ["a", "b"]}'
+    with pytest.raises(ValueError):
+        templates.run(pages, "none")
+
+
+def test_ranks_over_ranges(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"), (F.col("id") % 3).alias("y"))
+    got = ranks.with_rank(df, [F.col("y").desc(), F.col("x")], partitions=7).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 501)) and [(r.y, r.x) for r in got] == sorted(((r.y, r.x) for r in got), key=lambda t: (-t[0], t[1]))
+
+
+def test_nearest_vectors(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)] + [(99, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    a = vectors.nearest(df, F.col("vec_id") % 10 == 0, 3).collect()
+    b = vectors.nearest(df, F.col("vec_id") % 10 == 0, 3, chunk=7, block=2).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 12

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions import urls
+from .ranks import with_rank
 
 WEIGHTS = {"bm25": 0.4, "semantic": 0.3, "authority": 0.2, "freshness": 0.1}
 
@@ -103,4 +103,4 @@ def rank_results(rows: DataFrame, query: str, order: str = "doc_id", weights: di
     fresh = freshness(published, as_of) if published is not None else F.lit(0.5)
     rows = rows.withColumns({"semantic": semantic(F.col("tokens"), content, query), "authority": authority(F.col("link")), "freshness": fresh})
     rows = rows.withColumn("final", sum((F.col(k) * v for k, v in w.items()), F.lit(0.0))).drop("tokens")
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.round("final", 9).desc(), order)))
+    return with_rank(rows.withColumn("__s", F.round("final", 9)), [F.col("__s").desc(), F.col(order)]).drop("__s")

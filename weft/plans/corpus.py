@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import similarity as S
 from ..functions import text as T
+from ..operators.vectors import nearest
 from ..sources.tables import table
 
 
@@ -236,11 +237,8 @@ Q["benchmark_overlap"] = (_benchmark, f"select doc_id, item_id, count(*) as shar
 
 
 def _embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest five vectors by cosine of every fiftieth vector, queried in one block against all rows."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    pairs = e.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(S.cosine(F.col("v"), F.col("embedding")), 6).alias("score"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))).where("rank <= 5")
+    """Nearest five vectors by cosine of every fiftieth vector against all rows."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 Q["embedding_neighbours"] = (

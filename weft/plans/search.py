@@ -10,6 +10,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..functions import urls
 from ..operators import ranking as R
+from ..operators.ranks import with_rank
 from ..sources.tables import SEARCH_SQL, search_rows, table
 
 QUERY = "that with this"
@@ -41,7 +42,8 @@ select doc_id, score, row_number() over (order by score desc, doc_id)::int as ra
 
 def _rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.rank_results(search_rows(table(spark, sf_dir, "documents")), QUERY)
-    return rows.select("doc_id", *(F.round(c, 6).alias(c) for c in ("bm25", "semantic", "authority", "freshness", "final")), "rank", (F.row_number().over(W.orderBy("doc_id")) - F.col("rank")).alias("rank_change"))
+    rows = with_rank(rows, [F.col("doc_id")], "place")
+    return rows.select("doc_id", *(F.round(c, 6).alias(c) for c in ("bm25", "semantic", "authority", "freshness", "final")), "rank", (F.col("place") - F.col("rank")).alias("rank_change"))
 
 
 
