@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..operators.ranks import with_rank
 from ..sources.tables import table
 
 Q: dict[str, tuple] = {}
@@ -90,10 +91,11 @@ union all select null, user_id, ms, event_id, 'snapshot', true from v where even
 
 
 def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Values at floor(n * p) of each group in order, by rank and without gathering a group."""
-    w = W.partitionBy(key)
-    r = rows.withColumns({"r": F.row_number().over(w.orderBy(value)) - 1, "n": F.count("*").over(w)})
-    return r.groupBy(key).agg(*(F.max(F.when(F.col("r") == F.floor(F.col("n") * p), F.col(value))).alias(f"p{int(round(p * 100))}") for p in (0.5, 0.75, 0.9, 0.95, 0.99)))
+    """Values at floor(n * p) of each group in order, found by rank over ranges, so no task holds a group."""
+    ranked = with_rank(rows.select(key, value), [F.col(key), F.col(value)], "r")
+    groups = ranked.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), F.min("r").alias("first"))
+    placed = ranked.join(groups, F.col(key) == F.col("k")).withColumn("r", F.col("r") - F.col("first"))
+    return placed.groupBy(key).agg(*(F.max(F.when(F.col("r") == F.floor(F.col("n") * p), F.col(value))).alias(f"p{int(round(p * 100))}") for p in (0.5, 0.75, 0.9, 0.95, 0.99)))
 
 
 Q["latency_percentiles"] = (

@@ -80,17 +80,18 @@ select source, min(position) filter (where hit) as best, count(*) filter (where
 
 
 def duplicate_pairs(rows: DataFrame, url: float = 0.8, title: float = 0.75, content: float = 0.7, combined: float = 0.6) -> DataFrame:
-    """Pairs of rows that count as one result, among those with the same normalised URL, title or snippet start.
+    """Rows that count as one result with the leader of a block: same normalised URL, title or snippet start.
 
-    Block keys meet in an equi-join; a pair is judged once.  Thresholds are the wired preset; a URL similarity
-    of 0.95 decides alone.
+    As in leader clustering a row is compared with the first row of each of its blocks and not with all others,
+    so a block of any size costs its size.  Thresholds are the wired preset; a URL similarity of 0.95 decides alone.
     """
     low = F.lower(F.trim("title"))
     d = rows.select("doc_id", urls.normalize_for_dedup(F.col("link")).alias("u"), low.alias("t"), T.tokens(F.col("title")).alias("tt"), F.lower(F.substring("snippet", 1, 120)).alias("c"))
     d = d.withColumn("h", S.simhash64(F.col("c")))
     keys = d.select("*", F.explode(F.array_distinct(F.array(F.concat(F.lit("u"), F.col("u")), F.concat(F.lit("t"), F.col("t")), F.concat(F.lit("c"), F.md5("c"))))).alias("key"))
-    a, b = keys.alias("a"), keys.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("doc_id", "u", "t", "tt", "c", "h"))).dropDuplicates(["a_doc_id", "b_doc_id"])
+    own = ("doc_id", "u", "t", "tt", "c", "h")
+    heads = keys.groupBy("key").agg(F.min_by(F.struct(*own), "doc_id").alias("a"))
+    pairs = keys.join(heads, "key").where(F.col("a.doc_id") < F.col("doc_id")).select(*(F.col(f"a.{c}").alias(f"a_{c}") for c in own), *(F.col(c).alias(f"b_{c}") for c in own)).dropDuplicates(["a_doc_id", "b_doc_id"])
     su = S.edit_similarity(F.col("a_u"), F.col("b_u"))
     st = S.title_similarity(F.col("a_t"), F.col("b_t"), F.col("a_tt"), F.col("b_tt"))
     sc = F.when((F.length("a_c") < 10) | (F.length("b_c") < 10), 0.0).otherwise(1 - S.hamming(F.col("a_h"), F.col("b_h")) / 64)
