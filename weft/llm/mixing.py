@@ -227,7 +227,8 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", sourc
     """The mix as documents: for each pass, what it takes of each row, with the row's other columns.
 
     A document whole in a pass keeps its text byte for byte; of a document cut by a block only the taken words
-    stay.  Rows alike in id and text are told apart by their places only.  ``n_chars`` names a column to hold the length of the new text.
+    stay.  Rows alike in id and text are told apart by their places only, so their other columns come from one of them.
+    Texts without a word are never taken; no rows give an empty result.  ``n_chars`` names a column to hold the length of the new text.
     """
     spans, _ = mix_spans(docs, mix, doc_id, source, text)
     pieces = spans.groupBy(F.xxhash64("id", "h").alias("__k"), "s", "start", "turn").agg(F.collect_list(F.struct("from_word", "n_words")).alias("__spans")).select("__k", "__spans")

@@ -315,6 +315,9 @@ def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "
     """``docs`` with one row of each group: the smallest doc_id, null last, then the smallest text hash.
 
     Only ids, hashes and fingerprints are grouped; the texts move once, by a hash of doc_id and text, to meet them.
+
+    * Null, empty and wordless texts share fingerprint zero and so one row of them stays; of repeated rows one stays.
+      No rows give an empty result.  All columns of the input come out as they are.
     """
     rows = near_members(docs, radius, size, doc_id, text)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("k")).select(F.xxhash64("k.id", "k.h").alias("__k"))
