@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -69,12 +71,27 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 BATCH_ROWS = 512
 
 
+def release() -> None:
+    """Give freed memory back: workers outlive their task, and several wait beside the ones at work."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` over rows with texts, in batches of ``BATCH_ROWS`` rows at most."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key, "0")) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def slices(batches, column: str, most: int = 1 << 20):

@@ -28,7 +28,7 @@ _SMALL = 0x250
 #: Words longer than this are merged one by one with a heap.
 LONG = 48
 #: Words a worker remembers.
-CACHE = 120_000
+CACHE = 60_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -331,6 +331,8 @@ def encode_texts(docs: DataFrame, model_file: str | None = None, doc_id: str = "
             offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
             yield pa.RecordBatch.from_arrays([piece.column("id"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(count, pa.int64()), pa.array(same, pa.bool_())], [doc_id, "ids", "n_pieces", "round_trip"])
 
+        m.cache = {}
+
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     return map_texts(rows, run, f"`{doc_id}` {kind}, ids array<int>, n_pieces long, round_trip boolean")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, map_texts, materialize, slices
+from .common import SpanHashes, map_texts, materialize, release, slices
 
 ORDER, SPAN, DECAY, SYMBOLS = 4, 6, 0.6, 32
 OFFSETS = list(itertools.combinations(range(1, SPAN), ORDER - 1))
@@ -241,6 +241,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3e-3) -> np.ndarray:
     return w
 
 
+def _joined(parts: list[Words], step: int) -> Words:
+    """Streams of successive groups of ``step`` texts as one; the edge that opens a stream closes the one before."""
+    at, offset, syms = [], 0, []
+    for p in parts:
+        at.append(p.at + offset)
+        syms.append(p.sym if p is parts[-1] else p.sym[:-1])
+        offset += len(syms[-1])
+    return Words(np.concatenate(syms), np.concatenate(at), np.concatenate([p.doc + i * step for i, p in enumerate(parts)]))
+
+
+def _hashes(words: Words, step: int = 1 << 20) -> np.ndarray:
+    """Hash of each word, in parts of the stream, as the sums behind the hashes take eight bytes a symbol."""
+    out, size = np.zeros(len(words.at), np.uint64), words.size
+    for lo in range(0, len(words.at), step // 8):
+        at = words.at[lo : lo + step // 8]
+        end = at + size[lo : lo + step // 8] + 1
+        out[lo : lo + len(at)] = SpanHashes(words.sym[at[0] : end[-1]]).of(at - at[0], end - at[0])
+    return out
+
+
+def _features(texts: list[str], table: np.ndarray, bias: float, chars: int) -> np.ndarray:
+    words = word_stream([t[:chars] for t in texts])
+    return document_features(word_scores(words, table, bias), words.doc, len(texts))
+
+
 def train(texts: list[str], labels: list[int], setting: Training = Training()) -> tuple[np.ndarray, np.ndarray]:
     """Weight table of the subsequences and the coefficients that turn document features into a score.
 
@@ -255,9 +280,9 @@ def train(texts: list[str], labels: list[int], setting: Training = Training()) -
     if not len(y) or y.min() == y.max():
         return table, np.array([30.0 if len(y) and y.min() == 1 else -30.0])
     rng = np.random.default_rng(11)
-    words = word_stream([t[: setting.chars] for t in texts])
+    words = _joined([word_stream([t[: setting.chars] for t in texts[i : i + 256]]) for i in range(0, len(y), 256)], 256)
     size = words.size
-    h = SpanHashes(words.sym).of(words.at, words.at + size + 1)
+    h = _hashes(words)
     fits = np.arange(len(y)) % 3 != 0
     use = fits[words.doc] & (size > 2)
     _, first, inverse = np.unique(h[use], return_index=True, return_inverse=True)
@@ -286,7 +311,7 @@ def train(texts: list[str], labels: list[int], setting: Training = Training()) -
     x = _kernel(_sparse(sym, words.at[at], size[at]), len(at), known, z) @ root
     w = _svm(x, up / n_up, setting.ratio * down / n_down, setting.ridge)
     table[known] = z @ (root @ w[:-1]).astype(np.float32)
-    f = document_features(word_scores(words, table, w[-1]), words.doc, len(y))
+    f = np.concatenate([_features(texts[i : i + 128], table, w[-1], setting.chars) for i in range(0, len(y), 128)])
     held = ~fits if 0 < y[~fits].sum() < (~fits).sum() else np.ones(len(y), bool)
     return table, np.append(_logistic(f[held], y[held]), w[-1])
 
@@ -324,6 +349,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, setting: Training = Trai
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["id"])
         table, head = train([r["t"] for r in rows], [r["y"] for r in rows], setting)
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([head.tobytes()])], ["w", "h"])
+        del rows
+        release()
 
     fitted = materialize(sample(docs, labels, setting, doc_id, text).repartition(1).mapInArrow(fit, "w binary, h binary"), "toxicity").first()
     if fitted is None:  # no labelled rows reached the task
