@@ -519,3 +519,35 @@ def test_no_labels_and_one_class(spark):
     for labels in ([], [(1, 0, 0)]):
         got = toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
         assert len(got) == 2 and all(r.predicted == 0 for r in got)
+
+
+def test_a_few_changed_words_leave_one_copy(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    line = "this common line stands in every one of the texts alike".split()
+    texts = []
+    for k in range(12):
+        base = line + [rng.choice(vocabulary) for _ in range(120 + 40 * k)]
+        texts.append(base)
+        for n in (1, 2, 4, 8):
+            texts.append([f"x{rng.randrange(10**6)}" if i % (len(base) // n) == 20 else w for i, w in enumerate(base)])
+    texts += [["one", "two"], ["One", "two"], []]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ([x.lower() for x in t] for t in texts)]
+    like = {i: {j for j in range(len(sets)) if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])} for i in range(len(sets))}
+    fps = [brute_fp(" ".join(t)) for t in texts]
+    for g in groups_of(set(fps)):
+        own = {i for i, f in enumerate(fps) if f in g}
+        for i in own:
+            like[i] |= own
+    left, want = set(range(len(texts))), set()
+    while left:
+        stack = [min(left)]
+        want.add(stack[0])
+        while stack:
+            i = stack.pop()
+            if i in left:
+                left.discard(i)
+                stack += like[i] & left
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id for r in simhash.one_of_each(frame, shared=(5, (4, 5))).collect()}
+    assert got == want and len(got) < simhash.one_of_each(frame).count()

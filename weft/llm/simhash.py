@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import overlap
 from .common import _SPACE, map_texts, materialize, slices, utf8, words
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -288,12 +289,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_members(docs: DataFrame, radius: int, size: int, doc_id: str, text: str) -> DataFrame:
+def near_members(docs: DataFrame, radius: int, size: int, doc_id: str, text: str, shared: tuple[int, tuple[int, int]] | None = None) -> DataFrame:
     """id, h (hash of the text), fp, root (the least fingerprint of its group) and component_id of every row."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     rows = materialize(with_fingerprint(rows, ["id", "h"], "t", size), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
     stars = components(near_links(nodes, radius))
+    if shared is not None:
+        stars = overlap.join_components(docs, text, rows.count(), stars, components, lambda column: fingerprints(column, size), *shared)
     rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
@@ -311,15 +314,17 @@ def near_groups(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "
     return rows.select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "doc_id", text: str = "text", shared: tuple[int, tuple[int, int]] | None = None) -> DataFrame:
     """``docs`` with one row of each group: the smallest doc_id, null last, then the smallest text hash.
 
-    Only ids, hashes and fingerprints are grouped; the texts move once, by a hash of doc_id and text, to meet them.
+    ``shared``, as (5, (4, 5)), also groups all texts whose sets of five-word shingles have a Jaccard similarity
+    of 4/5 or more.  Only ids, hashes, fingerprints and shingles are grouped; the texts move once, by a hash of
+    doc_id and text, to meet them.
 
     * Null, empty and wordless texts share fingerprint zero and so one row of them stays; of repeated rows one stays.
       No rows give an empty result.  All columns of the input come out as they are.
     """
-    rows = near_members(docs, radius, size, doc_id, text)
+    rows = near_members(docs, radius, size, doc_id, text, shared)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("k")).select(F.xxhash64("k.id", "k.h").alias("__k"))
     once = docs.withColumn("__k", F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text)))).dropDuplicates(["__k"])
     return once.join(first, "__k", "left_semi").drop("__k")
