@@ -551,3 +551,12 @@ def test_a_few_changed_words_leave_one_copy(spark):
     frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id for r in simhash.one_of_each(frame, shared=(5, (4, 5))).collect()}
     assert got == want and len(got) < simhash.one_of_each(frame).count()
+
+
+def test_every_announcement_of_the_catalogue_is_recognised(spark):
+    known = licences.catalogue()
+    assert all(re.search(licences.KEYWORDS, k) for k in known)
+    data = [(i, f"{lead} {name}.", f"notice-{key}") for i, (key, name, lead) in enumerate((k, n, x) for k, names in licences.NAMES.items() for n in names for x in licences.LEADS)]
+    data += [(len(data), "All rights\nreserved.", "reserved"), (len(data) + 1, "# This project is released\n# under GPLv3.", "notice-GPL-3.0")]
+    got = licences.recognise(spark.createDataFrame(data, "doc_id long, text string, want string")).collect()
+    assert not [(r.text, r.sentence_ids) for r in got if r.sentence_ids != [r.want]]

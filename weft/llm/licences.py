@@ -82,7 +82,11 @@ STEPS = [
     (r"(^| )the ", "{1}"),
     (r"([0-9])\.0( |$)", "{1}{2}"),
 ]
-KEYWORDS = r"(?i)licen[sc]|rights reserved|permission|redistribut|warrant|spdx|public domain|in no event|neither the name|copyright notice|free software|compliance with"
+#: Every sentence of the catalogue holds one of these, in one line or wrapped.
+KEYWORDS = "(?i)" + "|".join(
+    k.replace(" ", "[^A-Za-z0-9]+")
+    for k in ("licen[sc]", "released", "distributed", "published", "available", "rights reserved", "permission", "redistribut", "warrant", "spdx", "public domain", "in no event", "neither the name", "copyright notice", "free software", "compliance with")
+)
 #: Labels lose their colon, which would end a sentence.
 LABEL = r"(?i)(identifier|licen[sc]e):"
 #: An empty line ends a sentence; line breaks otherwise wrap it.
