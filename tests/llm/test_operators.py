@@ -560,3 +560,15 @@ def test_every_announcement_of_the_catalogue_is_recognised(spark):
     data += [(len(data), "All rights\nreserved.", "reserved"), (len(data) + 1, "# This project is released\n# under GPLv3.", "notice-GPL-3.0")]
     got = licences.recognise(spark.createDataFrame(data, "doc_id long, text string, want string")).collect()
     assert not [(r.text, r.sentence_ids) for r in got if r.sentence_ids != [r.want]]
+
+
+def test_names_that_differ_in_capitals_keep_apart(spark):
+    first = ["Mc", "Mac", "Le", "Van", "Di"]
+    names = [f"{a}{b}" for a in first for b in ("Donald", "donald", "DONALD", "Gee", "gee")] + ["O'Brien", "O'brien", "SMith", "Smith", "SMITH", "Groß", "GROẞ"]
+    data = [f"Mr {n}" for n in names] + [f"Dr {g} Stone" for g in ("James", "JAMES", "JaMes", "Mary")]
+    data += [f"Mr {a}{b}{c}{d} Stone" for a in "JPKL" for b in "aeiou" for c in "nrlm" for d in ("", "l", "n", "e", "a")]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string"))
+    made = [r.text for r in out.collect()]
+    assert len(set(made)) == len(set(data)) and pii.collisions(out).count() == 0
+    kept = {t: r for t, r in zip(data, (r.text for r in out.orderBy("doc_id").collect()))}
+    assert all([c.isupper() for c in a] == [c.isupper() for c in b] for a, b in kept.items() if len(a.split()) == 2)

@@ -7,6 +7,7 @@ therefore stay, equal entities get equal surrogates, and unequal entities of one
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -159,20 +160,49 @@ def _hex(m: Column, key: str) -> Column:
     return let(cipher(F.lower(m), key, "hex", (HEX,)), lambda y: F.when(m == F.upper(m), F.upper(y)).otherwise(y))
 
 
+def _low(c: Column) -> Column:
+    """A capital's small letter; what is no capital of one small letter stays."""
+    return F.when(c == "ẞ", "ß").when((F.length(F.lower(c)) == 1) & (F.upper(F.lower(c)) == c), F.lower(c)).otherwise(c)
+
+
+def _small(s: Column) -> Column:
+    return F.array_join(F.transform(_chars(s), _low), "")
+
+
 def _cased(form: Column, low: Column) -> Column:
-    return F.when(form == F.upper(form), F.upper(low)).otherwise(F.concat(F.upper(F.substr(low, F.lit(1), F.lit(1))), F.substr(low, F.lit(2), F.length(low))))
+    """``low`` with capitals where ``form``, of the same length, has them."""
+
+    def one(c: Column, i: Column) -> Column:
+        got = F.substr(low, i + 1, F.lit(1))
+        return F.when(_low(c) == c, got).when(got == "ß", "ẞ").otherwise(F.upper(got))
+
+    return F.array_join(F.transform(_chars(form), one), "")
+
+
+def _family(word: Column, key: str) -> Column:
+    return let(cipher(_small(word), key, "family", NAME_ALPHABETS), lambda low: _cased(word, low))
 
 
 def _given(word: Column, gender: Column, key: str) -> Column:
-    """Another given name of the same script and gender; one outside the lists is moved letter by letter."""
-    low, out = F.lower(word), None
+    """Another given name of the same script and gender; one outside the lists is moved letter by letter.
+
+    Both make one bijection: a name that the letters would move onto a listed one is moved on until it is none,
+    at most once for each listed name.  Listed names with other capitals than the first or all are moved by letters.
+    """
+    low, upper, out = _small(word), word == F.upper(word), None
+    plain = upper | (F.substr(word, F.lit(2), F.length(word)) == F.lower(F.substr(word, F.lit(2), F.length(word))))
+    fits = lambda name, kind, names: name.isin(*names) & F.when(gender != "", F.lit(kind).startswith(gender)).otherwise(True)
     for kind, names in GIVEN.items():
         start = sum(map(ord, f"{key}{kind}")) % (len(names) - 1) + 1
         listed = F.array(*map(F.lit, names))
-        fits = F.array_contains(listed, low) & F.when(gender != "", F.lit(kind).startswith(gender)).otherwise(True)
         other = F.element_at(listed, ((F.array_position(listed, low) - 1 + start) % len(names) + 1).cast("int"))
-        out = F.when(fits, other) if out is None else out.when(fits, other)
-    return _cased(word, out.otherwise(cipher(low, key, "given", NAME_ALPHABETS)))
+        other = F.when(upper, F.upper(other)).otherwise(F.concat(F.upper(F.substr(other, F.lit(1), F.lit(1))), F.substr(other, F.lit(2), F.length(other))))
+        out = F.when(plain & fits(low, kind, names), other) if out is None else out.when(plain & fits(low, kind, names), other)
+    moved = lambda name: cipher(name, key, "given", NAME_ALPHABETS)
+    taken = lambda name: plain & functools.reduce(lambda a, b: a | b, (fits(name, kind, names) for kind, names in GIVEN.items()))
+    steps = F.sequence(F.lit(1), F.lit(sum(map(len, GIVEN.values()))))
+    walked = let(moved(low), lambda first: F.when(taken(first), F.aggregate(steps, first, lambda name, _: F.when(taken(name), moved(name)).otherwise(name))).otherwise(first))
+    return out.otherwise(let(walked, lambda name: _cased(word, name)))
 
 
 def _name(m: Column, key: str) -> Column:
@@ -182,8 +212,7 @@ def _name(m: Column, key: str) -> Column:
 
     def made(x: Column) -> Column:
         last = F.element_at(x["words"], -1)
-        family = _cased(last, cipher(F.lower(last), key, "family", NAME_ALPHABETS))
-        return F.concat_ws(" ", x["title"], F.when(F.size(x["words"]) > 1, _given(F.element_at(x["words"], 1), x["gender"], key)), family)
+        return F.concat_ws(" ", x["title"], F.when(F.size(x["words"]) > 1, _given(F.element_at(x["words"], 1), x["gender"], key)), _family(last, key))
 
     return let(F.struct(title.alias("title"), gender.alias("gender"), F.split(F.trim(F.substr(m, F.length(title) + 1, F.length(m))), " ").alias("words")), made)
 
@@ -226,20 +255,17 @@ def collisions(rows: DataFrame, found: str = "entities") -> DataFrame:
     return pairs.distinct().groupBy("kind", "made").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def pseudonymise(docs: DataFrame, key: str = "weft", text: str = "text", attempts: int = 4) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str = "weft", text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text`` and a column ``entities`` of (kind, found, made).
 
-    Per row and without a shuffle of texts.  All (entity, surrogate) pairs of the corpus are then checked: if
-    one surrogate stands for two entities, which only names outside the lists can bring about, the key is
-    changed and the work done anew.
+    Per row and without a shuffle of texts.  Surrogates are a bijection for each kind, so no key has collisions;
+    all (entity, surrogate) pairs of the corpus are still checked.
 
     * A null text stays null, an empty one empty, both with no entities.  Rows alike in text come out alike.  No
       rows give an empty result.  Other columns pass unread.
     """
-    for attempt in range(attempts):
-        own = key if not attempt else f"{key}#{attempt}"
-        rows = docs.withColumn("entities", entities(F.col(text), own))
-        rows = materialize(rows.withColumn(text, replaced(F.col(text), F.col("entities"))), "pii")
-        if not collisions(rows).take(1):
-            return rows
-    raise RuntimeError("surrogates collide under every key")
+    rows = docs.withColumn("entities", entities(F.col(text), key))
+    rows = materialize(rows.withColumn(text, replaced(F.col(text), F.col("entities"))), "pii")
+    if collisions(rows).take(1):
+        raise RuntimeError("a surrogate stands for two entities")
+    return rows
