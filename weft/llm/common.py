@@ -10,7 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of every contract: space and U+0009 to U+000D.
@@ -36,19 +36,91 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Frees the shuffle files of a query as it ends; without it they lie on the executors until the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, observation: Observation | None = None, *metrics: Column) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table.
 
-    Cuts lineage, so a lost executor costs a reread and not a recomputation.  The files go when the
-    driver's JVM ends.
+    Cuts lineage, so a lost executor costs a reread and not a recomputation.  ``metrics`` are observed on the way.
+    The files go when ``discard`` names them or the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.observe(observation, *metrics) if observation is not None else df).write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    target, files = _located(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["weft_path"] = path
+    return out
+
+
+def counted(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` and the number of rows (n) with other metrics, without another scan."""
+    seen = Observation()
+    out = materialize(df, label, seen, F.count(F.lit(1)).alias("n"), *metrics)
+    return out, seen.get
+
+
+#: Keys with more than this share of all rows are joined by a broadcast: there are at most as many of them.
+HEAVY = 10_000
+#: Up to this many rows one key is no burden, whatever its share.
+FEW = 1 << 20
+
+
+def join_heavy(rows: DataFrame, lookup: DataFrame, key: str, total: int, count: str) -> DataFrame:
+    """Inner join of ``rows`` (``total`` of them) to ``lookup``, which has one row for each key and how many rows have it.
+
+    No task gets all rows of a heavy key: the at most ``HEAVY`` keys with over 1/``HEAVY`` of the rows each are broadcast
+    to their rows, the others meet by a shuffle.
+    """
+    if total <= FEW:
+        return rows.join(lookup.drop(count), key)
+    heavy = F.col(count) * HEAVY > total
+    hot = F.broadcast(lookup.where(heavy).drop(count))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(lookup.where(~heavy).drop(count), key))
+
+
+def _located(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the files of a table that ``materialize`` wrote, once nothing reads it any more."""
+    path = df.__dict__.get("weft_path") if df is not None else None
+    if path:
+        target, files = _located(df.sparkSession, path)
+        files.delete(target, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of ``names`` that no column of ``df`` has."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def make_room(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with columns of its own called as one of ``names`` renamed to ``input_<name>``, so that results have the name."""
+    for name in names:
+        own = next((c for c in df.columns if c.lower() == name.lower()), None)
+        if own is not None:
+            away = f"input_{own}"
+            while away.lower() in {c.lower() for c in df.columns}:
+                away = f"input_{away}"
+            df = df.withColumnRenamed(own, away)
+    return df
 
 
 def source_order(col) -> list:
@@ -113,6 +185,22 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def row_key(doc_id: str, text: str) -> list[Column]:
+    """128 bits of a row's id and text, null told from empty, as two longs."""
+    parts = [F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text)]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)]
+
+
+def one_of_alike(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of ``keys``: of rows that differ elsewhere the one with the least hash of its columns.
+
+    Columns of types that have no hash (maps) do not take part in the choice.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in keys and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in keys))
+    return docs.groupBy(*keys).agg(F.min_by(whole, F.xxhash64(*hashed)).alias("w")).select(*keys, "w.*")
+
+
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (byte positions) and document index of every word of concatenated texts."""
     n = len(raw)

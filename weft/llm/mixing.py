@@ -1,8 +1,8 @@
 """Mixing sources to target weights over fixed-length token blocks.
 
-The words of a source, document after document, form one stream that is cut into blocks of equal length.  Each
-source's slots are dealt to the output shards by a multinomial draw, a pseudorandom permutation per source and
-pass maps a slot to a block, and slots meet blocks in a join by index.
+The words of a source, document after document, form one stream that is cut into blocks of equal length.  Each output
+shard has a fixed number of slots and draws how many of them each source gets from a multinomial by the sources'
+shares; a pseudorandom permutation per source and pass maps a slot to a block, and slots meet blocks in a join by index.
 """
 
 from __future__ import annotations
@@ -17,10 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, map_texts, materialize, utf8, words
+from .common import WORD, fresh, map_texts, materialize, one_of_alike, row_key, utf8, words
 
-#: A source is a row of a catalogue that the driver plans over; more sources than this raise an error.
-MAX_SOURCES = 100_000
 #: Slots that one row of the plan stands for at most.
 PIECE = 1 << 16
 
@@ -49,8 +47,8 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: f
             break
         for i in over:
             out[i] = cap * sizes[i]
-        left -= sum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        left, gone = left - sum(out[i] for i in over), set(over)
+        open_ = [i for i in open_ if i not in gone]
     return out
 
 
@@ -112,44 +110,73 @@ def count_words(text: Column) -> Column:
 
 
 def positions(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    """Each row's place in its source's stream: id, h (hash of the text), src, size, start; and its source's size.
+    """Each row's place in its source's stream: id, h and g (hashes of id and text), src, size, start.
 
     A stream is laid out in 4096 hashed parts, by id and hash within one, and part sums give the offsets,
-    so no task holds a source.
+    so no task holds a source.  Rows alike in all of these are counted first and take places one after another.
     """
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(source).alias("src"), count_words(F.col(text)).alias("size"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "h"), F.lit(4096)).cast("int"))
-    rows = materialize(rows, "mix-rows")
-    parts = rows.groupBy("src", "part").agg(F.sum("size").alias("n"))
+    h, g = row_key(doc_id, text)
+    rows = docs.select(F.col(doc_id).alias("id"), h.alias("h"), g.alias("g"), F.col(source).alias("src"), count_words(F.col(text)).alias("size"))
+    rows = materialize(rows.groupBy(*rows.columns, F.pmod("h", F.lit(4096)).cast("int").alias("part")).agg(F.count("*").alias("copies")), "mix-rows")
+    parts = rows.groupBy("src", "part").agg(F.sum(F.col("size") * F.col("copies")).alias("n"))
     before = W.partitionBy("src").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select(F.col("src").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = W.partitionBy("src", "part").orderBy("id", "h").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    within = W.partitionBy("src", "part").orderBy("id", "h", "g").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("local", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(within), F.lit(0)))
     placed = placed.join(parts, (F.col("part") == F.col("p")) & F.col("src").eqNullSafe(F.col("s")))
-    return placed.select("id", "h", "src", "size", (F.col("offset") + F.col("local")).alias("start"))
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return placed.select("id", "h", "g", "src", "size", (F.col("offset") + F.col("local") + F.col("nth") * F.col("size")).alias("start"))
+
+
+def _spread(rng: np.random.Generator, wanted: int, room: np.ndarray) -> np.ndarray:
+    """``wanted`` taken from shards in proportion to their ``room``, what is left over from shards in a random order."""
+    out = np.array([int(r) * int(wanted) // max(1, int(room.sum())) for r in room], np.int64)
+    order = rng.permutation(len(room))
+    open_ = order[room[order] > out[order]]
+    out[open_[: wanted - int(out.sum())]] += 1
+    return out
+
+
+def draw(slots: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
+    """Slots of each source (columns) in each output shard (rows).
+
+    A shard of fixed size draws its counts from the multinomial of the sources' shares.  Over all shards a source then
+    has somewhat more or fewer slots than its target asks; the surplus is given back by the shards that drew it,
+    and the sources that lack slots get those, so every shard keeps its size and every source meets its target.
+    """
+    whole = int(slots.sum())
+    sizes = np.array([(j + 1) * whole // shards - j * whole // shards for j in range(shards)], np.int64)
+    if not whole:
+        return np.zeros((shards, len(slots)), np.int64)
+    drawn = np.array([rng.multinomial(n, slots / whole) for n in sizes], np.int64)
+    over = drawn.sum(0) - slots
+    free = np.zeros(shards, np.int64)
+    for s in np.flatnonzero(over > 0):
+        back = _spread(rng, int(over[s]), drawn[:, s])
+        drawn[:, s] -= back
+        free += back
+    for s in np.flatnonzero(over < 0):
+        got = _spread(rng, int(-over[s]), free)
+        drawn[:, s] += got
+        free -= got
+    return drawn
 
 
 def plan(spark: SparkSession, sizes: list[tuple[str | None, int]], mix: Mix) -> tuple[DataFrame, DataFrame]:
-    """The sources with their targets, and the slots of each source in each output shard as pieces of a sequence."""
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"{len(sizes)} sources; the plan takes {MAX_SOURCES} at most")
+    """The sources with their targets, and the slots of each source in each output shard as pieces of a sequence.
+
+    The driver holds a row for each source with a count for each shard (some 600 bytes), no more.
+    """
     sizes = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
     wanted = targets([n for _, n in sizes], mix.weights, mix.share, mix.cap)
-    rng = np.random.default_rng(mix.seed)
-    catalogue, pieces = [], []
-    held = np.zeros(mix.shards, np.int64)
-    draws = []
-    for i, ((name, size), target) in enumerate(zip(sizes, wanted)):
-        words_ = min(int(np.floor(target + 0.5)), int(mix.cap * size))
-        drawn = rng.multinomial(n_slots(size, words_, mix.block), np.full(mix.shards, 1 / mix.shards))
-        catalogue.append((i, name, int(size), float(target)))
-        draws.append((i, int(size), words_, drawn, held.copy()))
-        held += drawn
-    for i, size, words_, drawn, base in draws:
-        first = np.cumsum(drawn) - drawn
-        pieces += [(i, size, words_, j, int(first[j]), int(drawn[j]), int(base[j]), int(held[j])) for j in range(mix.shards) if drawn[j]]
-    sources = spark.createDataFrame(catalogue, "s int, name string, source_size long, target double")
-    return sources, spark.createDataFrame(pieces, "s int, size long, words long, shard int, first long, n long, base long, held long")
+    words_ = [min(int(np.floor(t + 0.5)), int(mix.cap * n)) for (_, n), t in zip(sizes, wanted)]
+    slots = np.array([n_slots(n, w, mix.block) for (_, n), w in zip(sizes, words_)], np.int64)
+    drawn = draw(slots, mix.shards, np.random.default_rng(mix.seed))
+    first, base, held = np.cumsum(drawn, 0) - drawn, np.cumsum(drawn, 1) - drawn, drawn.sum(1)
+    sources = spark.createDataFrame([(i, name, int(n), float(t)) for i, ((name, n), t) in enumerate(zip(sizes, wanted))], "s int, name string, source_size long, target double")
+    rows = [(i, int(n), w, [(j, int(first[j, i]), int(drawn[j, i]), int(base[j, i]), int(held[j])) for j in range(mix.shards) if drawn[j, i]]) for i, ((_, n), w) in enumerate(zip(sizes, words_))]
+    pieces = spark.createDataFrame(rows, "s int, size long, words long, p array<struct<shard: int, first: long, n: long, base: long, held: long>>")
+    return sources, pieces.select("s", "size", "words", F.explode("p").alias("p")).select("s", "size", "words", "p.*")
 
 
 def slot_table(pieces: DataFrame, mix: Mix) -> DataFrame:
@@ -171,8 +198,8 @@ def slot_table(pieces: DataFrame, mix: Mix) -> DataFrame:
 def mix_spans(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The mix as spans of documents, and the documents it draws on.
 
-    Spans: shard, slot, turn (0 for the first pass over a source), block, s, start, id, h, from_word, n_words.
-    Documents: id, h (hash of the text), s (source number), size, source_size, target, start; s and start
+    Spans: shard, slot, turn (0 for the first pass over a source), block, s, start, h, g, from_word, n_words.
+    Documents: id, h and g (hashes of id and text), s (source number), size, source_size, target, start; s and start
     name a row that has words.
 
     * Null texts and texts without a word have no place in a stream; a null source is the last source; rows
@@ -181,18 +208,17 @@ def mix_spans(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source:
       with a third of all words spreads over all tasks.
     """
     spark = docs.sparkSession
-    placed = positions(docs, doc_id, source, text)
-    placed = materialize(placed, "mix-places")
-    sizes = [(r["src"], r["n"]) for r in placed.groupBy("src").agg(F.sum("size").alias("n")).take(MAX_SOURCES + 1)]
+    placed = materialize(positions(docs, doc_id, source, text), "mix-places")
+    sizes = [(r["src"], r["n"]) for r in placed.groupBy("src").agg(F.sum("size").alias("n")).collect()]
     sources, pieces = plan(spark, sizes, mix)
-    known = placed.join(sources, F.col("src").eqNullSafe(F.col("name"))).select("id", "h", "s", "size", "source_size", "target", "start")
+    known = placed.join(sources, F.col("src").eqNullSafe(F.col("name"))).select("id", "h", "g", "s", "size", "source_size", "target", "start")
     length, end = F.lit(mix.block).cast("long"), F.col("start") + F.col("size")
-    held = known.where("size > 0").select("s", "start", "id", "h", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))).alias("block"))
+    held = known.where("size > 0").select("s", "start", "h", "g", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))).alias("block"))
     lo = F.greatest(F.col("start"), F.col("block") * length)
     # the plan of the slots looks small to the optimiser, but the slots grow with the words: never broadcast them
     spans = held.hint("merge").join(slot_table(pieces, mix), ["s", "block"])
     spans = spans.withColumn("n_words", F.least(F.col("end"), F.col("block") * length + F.col("taken")) - lo).where("n_words > 0")
-    return spans.select("shard", "slot", "turn", "block", "s", "start", "id", "h", (lo - F.col("start")).alias("from_word"), "n_words"), known
+    return spans.select("shard", "slot", "turn", "block", "s", "start", "h", "g", (lo - F.col("start")).alias("from_word"), "n_words"), known
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -227,21 +253,23 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", sourc
     """The mix as documents: for each pass, what it takes of each row, with the row's other columns.
 
     A document whole in a pass keeps its text byte for byte; of a document cut by a block only the taken words
-    stay.  Rows alike in id and text are told apart by their places only, so their other columns come from one of them.
-    Texts without a word are never taken; no rows give an empty result.  ``n_chars`` names a column to hold the length of the new text.
+    stay.  Rows alike in id and text are told apart by their places only; the other columns of all of them are those
+    of the one whose columns hash least.  Texts without a word are never taken; no rows give an empty result.
+    ``n_chars`` names a column to hold the length of the new text.
     """
     spans, _ = mix_spans(docs, mix, doc_id, source, text)
-    pieces = spans.groupBy(F.xxhash64("id", "h").alias("__k"), "s", "start", "turn").agg(F.collect_list(F.struct("from_word", "n_words")).alias("__spans")).select("__k", "__spans")
-    schema = docs.schema
-    once = docs.withColumn("__k", F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text)))).dropDuplicates(["__k"])
-    joined = once.join(pieces, "__k").select(*(F.col(f"`{c}`") for c in docs.columns), "__spans")
-    names = list(docs.columns)
+    h, g, cut = fresh(docs, "h", "g", "spans")
+    pieces = spans.groupBy("h", "g", "s", "start", "turn").agg(F.collect_list(F.struct("from_word", "n_words")).alias(cut)).select(F.col("h").alias(h), F.col("g").alias(g), cut)
+    schema, names = docs.schema, list(docs.columns)
+    own_h, own_g = row_key(doc_id, text)
+    once = one_of_alike(docs.withColumns({h: own_h, g: own_g}), [h, g])
+    joined = once.join(pieces, [h, g]).select(*(F.col(f"`{c}`") for c in names), cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 piece = batch.slice(a, 256)
-                got = _cut(piece.column(text), piece.column("__spans").to_pylist())
+                got = _cut(piece.column(text), piece.column(cut).to_pylist())
                 made = {text: pa.array(got, pa.string())}
                 if n_chars:
                     made[n_chars] = pa.array([len(x) for x in got], pa.int64())

@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, map_texts, materialize, powers, slices, utf8, words
+from .common import SpanHashes, counted, fresh, join_heavy, make_room, map_texts, powers, slices, utf8, words
 
 WINDOW = 8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "gross_failed", "soft_failed", "host_rate", "host_rejected", "kept")
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -171,24 +172,27 @@ def verdicts(docs: DataFrame, host: str = "source", text: str = "text", keep: tu
     or fails a soft rule under a rejected host; a document that fails no rule always stays.
 
     * Null and empty texts have no words and fail; a null host is a host of its own.  Repeated rows are judged one
-      by one.  No rows give an empty result.  Columns of the input outside ``keep``, host and text are not read.
-    * Host sums are combined before the shuffle, and host verdicts (a row for each host) join back without
-      collecting a host's documents, so a host with a third of all rows needs no task of its own.
+      by one.  No rows give an empty result.  Columns of the input outside ``keep``, host and text are not read; one
+      in ``keep`` that is called as a result becomes ``input_<name>``.
+    * Host sums are combined before the shuffle.  Host verdicts are broadcast up to ``BROADCAST_HOSTS`` hosts; with more,
+      only those of hosts with many rows are, so a host with a third of all rows needs no task of its own.
     """
-    keep = list(dict.fromkeys(keep))
-    rows = materialize(base_features(docs.withColumn("__host", F.col(host)), [*keep, "__host"], text), "quality")
+    own = list(dict.fromkeys(keep))
+    docs = make_room(docs.select(*dict.fromkeys([*own, host, text])), *RESULTS)
+    away = dict(zip(dict.fromkeys([*own, host, text]), docs.columns))
+    keep, host, text = [away[c] for c in own], away[host], away[text]
+    at, h, count = fresh(docs, "host_key", "host_failed", "host_rows")
+    known = docs.withColumn(at, F.when(F.col(host).isNull(), "").otherwise(F.concat(F.lit("="), F.col(host).cast("string"))))
+    rows, seen = counted(base_features(known, [*keep, at], text), "quality")
     n = F.col("n_words")
     base = (n < rules.min_words) | (100 * F.col("n_repeat_words") > round(100 * rules.max_repeat) * n)
     gross = (F.col("n_symbols") > rules.gross_symbols * n) | (F.col("n_dup_lines") > rules.gross_dup_lines * n)
     length = F.col("word_chars") / F.greatest(n, F.lit(1))
     soft = (F.col("n_symbols") > rules.soft_symbols * n) | (F.col("n_dup_lines") > rules.soft_dup_lines * n) | (F.col("n_repeat_words") > rules.soft_repeat * n) | (length < rules.soft_word_chars[0]) | (length > rules.soft_word_chars[1])
     rows = rows.withColumn("base_failed", base).withColumn("gross_failed", gross).withColumn("soft_failed", base | gross | soft)
-    hosts = rows.groupBy("__host").agg(F.count("*").alias("n"), F.sum(F.col("soft_failed").cast("long")).alias("failed"))
-    alpha, beta, n_hosts = beta_prior(hosts)
-    hosts = hosts.select(F.col("__host").alias("__h"), ((F.col("failed") + alpha) / (F.col("n") + alpha + beta)).alias("host_rate"))
-    hosts = F.broadcast(hosts) if n_hosts <= BROADCAST_HOSTS else hosts
-    judged = rows.join(hosts, F.col("__host").eqNullSafe(F.col("__h")), "left").drop("__host", "__h")
-    judged = judged.withColumn("host_rejected", F.col("host_rate") >= rules.host_rate)
+    hosts = rows.groupBy(at).agg(F.count("*").alias(count), F.sum(F.col("soft_failed").cast("long")).alias(h))
+    alpha, beta, n_hosts = beta_prior(hosts.select(F.col(count).alias("n"), F.col(h).alias("failed")))
+    hosts = hosts.select(at, count, ((F.col(h) + alpha) / (F.col(count) + alpha + beta)).alias("host_rate"))
+    judged = rows.join(F.broadcast(hosts.drop(count)), at) if n_hosts <= BROADCAST_HOSTS else join_heavy(rows, hosts, at, seen["n"], count)
+    judged = judged.drop(at).withColumn("host_rejected", F.col("host_rate") >= rules.host_rate)
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("gross_failed") & ~(F.col("soft_failed") & F.col("host_rejected")))
-
-

@@ -37,7 +37,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, weights: Sequence[float]
     * Rows with the same key share a shard.  Rows alike in key, size and checksum get consecutive slots in any
       order, which no output shows.  No rows give an empty result.  Other columns of the input are not read.
     * A shard's rows are numbered in 4096 hashed parts (three hex digits) whose sizes are summed first, so neither a
-      hot shard nor a large corpus puts a shard into one task.
+      hot shard nor a large corpus puts a shard into one task.  Rows alike in all that is returned are counted before
+      they move and numbered from their count, so copies in any number are one row until the end.
     """
     weights = list(weights or [1.0] * n_shards)
     if len(weights) != n_shards:
@@ -54,9 +55,12 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, weights: Sequence[float]
         .drop("scores")
     )
     rows = materialize(rows, "shards")
+    alike = rows.groupBy("shard", "part", "key", "size", "text_crc32", "grown_shard").agg(F.count("*").alias("copies"))
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     parts = parts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = W.partitionBy("shard", "part").orderBy("key", "size", "text_crc32")
-    out = rows.withColumn("nth", F.row_number().over(within) - 1).join(parts, ["shard", "part"])
-    return out.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("nth")).alias("slot"), "grown_shard")
+    within = W.partitionBy("shard", "part").orderBy("key", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
+    placed = alike.withColumn("nth", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(parts, ["shard", "part"])
+    first = F.col("offset") + F.col("nth")
+    out = placed.withColumn("slot", F.explode(F.sequence(first, first + F.col("copies") - 1)))
+    return out.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -96,28 +96,32 @@ def _licences() -> str:
         norm = f"regexp_replace({norm}, {_quoted(pattern)}, {_quoted(to.replace('{1}', chr(92) + '1').replace('{2}', chr(92) + '2'))}, 'g')"
     known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in l.catalogue().items())
     rules = ", ".join(f"({i}, {_quoted(name)}, {_quoted(';' + ';'.join(seq) + ';')})" for i, (name, seq) in enumerate(l.RULES))
-    ends = r"regexp_replace(%s, '([.!?;:])\s+', '\1' || chr(1), 'g')"
-    wrapped = f"regexp_replace(regexp_replace(t, {_quoted(l.EMPTY_LINE)}, '.' || chr(10), 'g'), {_quoted(l.BREAK)}, ' ', 'g')"
+    ends = r"string_split(regexp_replace(%s, '([.!?;:])\s+', '\1' || chr(3), 'g'), chr(3))"
     return f"""
 with docs as (
-  select row_number() over () as r, doc_id, regexp_replace(coalesce(text, ''), {_quoted(l.LABEL)}, '\\1', 'g') as t from documents),
+  select row_number() over () as r, doc_id, translate(regexp_replace(coalesce(text, ''), {_quoted(l.LABEL)}, '\\1', 'g'), chr(1) || chr(2), '  ') as t from documents),
 flagged as (
   select * from docs where regexp_matches(t, {_quoted(l.KEYWORDS)})),
 known(u, id) as (values {known}),
 rules(n, name, seq) as (values {rules}),
+lines as (
+  select r, unnest(string_split(t, chr(10))) as l, generate_subscripts(string_split(t, chr(10)), 1) as i from flagged),
 units as (
-  select r, 0 as view, i, j, u from (
-    select r, i, unnest(s) as u, generate_subscripts(s, 1) as j from (
-      select r, i, string_split({ends % 'l'}, chr(1)) as s from (
-        select r, unnest(string_split(t, chr(10))) as l, generate_subscripts(string_split(t, chr(10)), 1) as i from flagged)))
-  union all
-  select r, 1, 1, generate_subscripts(s, 1), unnest(s) from (
-    select r, string_split({ends % wrapped}, chr(1)) as s from flagged)),
+  select r, i, l, unnest(s) as u, generate_subscripts(s, 1) as j from (select *, {ends % 'l'} as s from lines)),
+settled as (
+  select x.*, id from (select *, case when regexp_matches(u, {_quoted(l.KEYWORDS)}) then trim({norm}) end as v from units) x left join known on known.u = v),
+runs as (
+  select r, string_split(string_agg(case when regexp_matches(l, {_quoted(l.EMPTY_LINE)}) then chr(1) when id is not null then chr(1) || chr(2) || id || chr(1) else u end, ' ' order by i, j), chr(1)) as x from settled group by r),
+run as (
+  select r, unnest(x) as x, generate_subscripts(x, 1) as i from runs),
+again as (
+  select r, i, unnest(s) as u, generate_subscripts(s, 1) as j from (select r, i, {ends % 'x'} as s from run where not starts_with(x, chr(2)))),
 found as (
-  select r, view, list(id order by i, j) as ids from (select r, view, i, j, trim({norm}) as u from units where regexp_matches(u, {_quoted(l.KEYWORDS)})) join known using (u)
-  group by r, view),
+  select r, i, 0 as j, substr(x, 2) as id from run where starts_with(x, chr(2))
+  union all
+  select r, i, j, id from (select r, i, j, trim({norm}) as u from again where regexp_matches(u, {_quoted(l.KEYWORDS)})) join known using (u)),
 best as (
-  select r, first(ids order by len(ids) desc, view) as ids from found group by r),
+  select r, list(id order by i, j) as ids from found group by r),
 hits as (
   select r, n, name, seq from best, rules where contains(';' || array_to_string(ids, ';') || ';', seq)),
 names as (
