@@ -1,4 +1,4 @@
-"""Links between texts whose sets of word shingles overlap: lossless prefix filter, then the exact Jaccard similarity."""
+"""Links between texts whose sets of word shingles overlap: MinHash bands find candidates, the exact Jaccard similarity decides."""
 
 from __future__ import annotations
 
@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, map_texts, materialize, slices, utf8, words
+from .common import SpanHashes, counted, discard, map_texts, materialize, slices, utf8, words
 
-#: Texts in the sample that tells common shingles, how many of them a shingle is in to be common, and how many are kept.
-SAMPLE, COMMON, KEPT = 4000, 3, 20000
 _MIX = np.uint64(0x9FB21C651E98DF25)
+#: Bands and rows of the signature: at a similarity of 0.8 a pair shares no band with probability 0.002, at 0.9 with 1e-6.
+BANDS, ROWS = 16, 5
+_DRAWN = np.random.default_rng(64).integers(1, 1 << 32, (2, BANDS * ROWS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def shingles(column: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -36,115 +37,165 @@ def shingles(column: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (out ^ (out >> np.uint64(32))) * _MIX, doc[head]
 
 
-def shingle_sets(column: pa.Array, size: int, common: np.ndarray | None = None, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each text and their document index, rare ones first; ``common`` is sorted and ``rank`` its order."""
+def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each text and their document index."""
     h, doc = shingles(column, size)
-    late = np.zeros(len(h), np.int64)
-    if common is not None and len(common) and len(h):
-        near = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        late = np.where(common[near] == h, rank[near] + 1, 0)
-    order = np.lexsort((h, late, doc))
+    order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     return h[new], doc[new]
 
 
-def _hashed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+def bands(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Band keys of each text (rows), from the least of its shingles under each of BANDS x ROWS hash functions; none for no shingles."""
+    some = np.flatnonzero(n)
+    out = np.zeros((len(n), BANDS), np.uint64)
+    if not len(some):
+        return out
+    low = (key ^ (key >> np.uint64(32))).astype(np.uint32)
+    first = (np.cumsum(n) - n)[some]
+    with np.errstate(over="ignore"):
+        for band in range(BANDS):
+            own = np.full(len(some), band + 1, np.uint64)
+            for row in range(band * ROWS, band * ROWS + ROWS):
+                mixed = low * _DRAWN[0, row]
+                mixed ^= mixed >> np.uint32(15)
+                mixed *= _DRAWN[1, row]
+                least = np.minimum.reduceat(mixed ^ (mixed >> np.uint32(13)), first)
+                own = (own ^ (own >> np.uint64(31))) * _MIX + least
+            out[some, band] = own ^ (own >> np.uint64(29))
+    return out
+
+
+def parity(key: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text a bit string of twice its shingles or more, as words and their offsets: a bit is how often it was hit, modulo 2.
+
+    The bits in which two such strings differ are at most the shingles that one of the sets has and the other
+    has not.  Lengths are powers of two, so a longer string folds to a shorter one's length by xor of its halves.
+    """
+    size = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(1, n / 32))).astype(np.int64), 0)
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(int(at[-1]), np.uint64)
+    bit = (key & (64 * size[doc] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(out, at[doc] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out, at
 
 
-def _postings(texts: DataFrame, size: int, take: Callable, fingerprints: Callable | None = None, common=None, rank=None) -> DataFrame:
-    """key, h, fp, n: the first ``take(n)`` of the n shingles of each text; a task takes equal texts once."""
+def described(rows: DataFrame, keep: list[str], size: int, fingerprints: Callable, text: str = "t") -> DataFrame:
+    """The columns ``keep``, fingerprint fp, number of distinct shingles n, their parity bits and band keys of each whole text."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", fp long, n int, bits array<long>, bands array<long>"
 
     def run(batches):
-        seen: set[int] = set()
-        for piece in slices(batches, "t"):
-            ids = piece.column("h").to_pylist()
-            fresh = [i for i, x in enumerate(ids) if x not in seen and not seen.add(x)]
-            piece = piece.take(pa.array(fresh, pa.int64()))
-            key, doc = shingle_sets(piece.column("t"), size, common, rank)
+        for piece in slices(batches, text):
+            fp = fingerprints(piece.column(text)).view(np.int64)
+            key, doc = shingle_sets(piece.column(text), size)
             n = np.bincount(doc, minlength=piece.num_rows)
-            keep = np.arange(len(doc)) - (np.cumsum(n) - n)[doc] < take(n)[doc]
-            key, doc = key[keep], doc[keep]
-            fp = fingerprints(piece.column("t")).view(np.int64) if fingerprints else np.zeros(piece.num_rows, np.int64)
-            h = np.asarray(piece.column("h"))[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h), pa.array(fp[doc]), pa.array(n[doc].astype(np.int32))], ["key", "h", "fp", "n"])
+            words, at = parity(key, doc, n)
+            bits = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(words.view(np.int64)))
+            own = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands(key, n).view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(fp), pa.array(n.astype(np.int32)), bits, own], [*keep, "fp", "n", "bits", "bands"])
 
-    return map_texts(texts, run, "key long, h long, fp long, n int")
+    return map_texts(rows.select(*keep, text), run, schema)
+
+
+def _hashed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.xxhash64(text).alias("x"), F.col(text).alias("t"))
 
 
-def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """h, s: the shingle set of each text."""
+def _sets(texts: DataFrame, size: int, fingerprints: Callable) -> DataFrame:
+    """x, fp, s: hash, fingerprint and shingle set of each text."""
 
     def run(batches):
         for piece in slices(batches, "t"):
             key, doc = shingle_sets(piece.column("t"), size)
             at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=piece.num_rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([piece.column("h"), pa.ListArray.from_arrays(pa.array(at), pa.array(key.view(np.int64)))], ["h", "s"])
+            fp = pa.array(fingerprints(piece.column("t")).view(np.int64))
+            yield pa.RecordBatch.from_arrays([piece.column("x"), fp, pa.ListArray.from_arrays(pa.array(at), pa.array(key.view(np.int64)))], ["x", "fp", "s"])
 
-    return map_texts(texts, run, "h long, s array<long>")
+    return map_texts(texts, run, "x long, fp long, s array<long>")
 
 
-def _common(texts: DataFrame, size: int, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample holds often, sorted, and their rank by that count.  They only set the order of the prefix."""
-    some = texts.where(F.pmod("h", F.lit(max(1, n_texts // SAMPLE))) == 0)
-    got = _postings(some, size, lambda n: n).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    got = sorted((r.n, r.key) for r in got.orderBy(F.col("n").desc(), "key").limit(KEPT).collect())
-    key = np.array([k for _, k in got], np.int64).view(np.uint64)
-    order = np.argsort(key)
-    return key[order], order
+def _candidates(known: DataFrame, stars: DataFrame, step: int) -> DataFrame:
+    """Pairs (a, b) of texts of a shared band that are not in one group yet: each text with one of its band, and with its
+    neighbour in the order of the band that follows.
 
-
-def prefixes(texts: DataFrame, n_texts: int, size: int, least: tuple[int, int], fingerprints: Callable) -> DataFrame:
-    """key, h, fp, n of the prefix shingles of each text.
-
-    With the shingles of all texts in one order, two sets of similarity t or more have a common shingle among
-    the first n - ceil(t n) + 1 of each; this holds for any order, so none of the pairs is lost.
+    A band of m texts gives at most 2 m pairs, however many of them are alike; another text leads in each round.
+    """
+    rooted = known.join(stars, F.col("fp") == F.col("node"), "left").select("x", "fp", F.coalesce("root", "fp").alias("root"), "bands")
+    post = rooted.select("x", "fp", "root", "bands", F.posexplode("bands").alias("band", "key"))
+    post = post.select("key", "x", "fp", "root", F.xxhash64(F.element_at("bands", (F.col("band") + 1 + step) % BANDS + 1), F.lit(step)).alias("o"))
+    w, text_of = W.partitionBy("key"), F.struct("x", "fp", "root")
+    first = F.min(F.struct(F.xxhash64("x", F.lit(step)).alias("o"), text_of.alias("t"))).over(w)["t"]
+    near = post.select(text_of.alias("p"), F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi"), first.alias("m"), F.lag(text_of).over(w.orderBy("o", "x")).alias("l")).where("lo <> hi")
+    pairs = near.select("p", F.explode(F.array("m", "l")).alias("q")).where("q is not null and p.root <> q.root")
+    end = lambda e: F.struct(f"{e}.x", f"{e}.fp")
+    return pairs.select(F.least(end("p"), end("q")).alias("a"), F.greatest(end("p"), end("q")).alias("b")).distinct()
+
+
+def _maybe(pairs: DataFrame, known: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that may be as similar as asked, by the sizes of their sets and the bits in which these differ.
+
+    Nothing similar is lost: sets of similarity t differ in at most (1 - t) / (1 + t) of the sum of their sizes,
+    and the parity bits of two sets in no more than the sets do.
     """
     num, den = least
-    return _postings(texts, size, lambda n: n - -(-num * n // den) + 1, fingerprints, *_common(texts, size, n_texts))
+    side = lambda e: known.select(F.struct("x", "fp").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"v{e}"))
+    both = pairs.join(side("a"), "a").where("na > 0").join(side("b"), "b").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
+    half = lambda v: F.zip_with(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2 + 1).cast("int"), (F.size(v) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    fold = lambda v, o: F.when(F.size(v) > F.size(o), half(v)).otherwise(v)
+    apart = F.aggregate(F.zip_with(fold(F.col("va"), F.col("vb")), fold(F.col("vb"), F.col("va")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
 
 
-def _open(rows: DataFrame, step: int) -> DataFrame:
-    """The rows whose shingle is in two or more groups, with one of the texts that have it (m)."""
-    w = W.partitionBy("key")
-    first = F.min(F.struct(F.xxhash64(F.col("h"), F.lit(step)).alias("o"), "h", "fp", "n", "root")).over(w).alias("m")
-    rows = rows.select("*", F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi"), first).where("lo <> hi")
-    return materialize(rows.select("key", "h", "fp", "n", "root", "m"), "open")
+#: Texts to compare up to this number (8 MB of hashes) are broadcast to find their texts; more meet them by a shuffle.
+BROADCAST_TEXTS = 1_000_000
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, size: int, least: tuple[int, int], fingerprints: Callable) -> DataFrame:
+    """The fingerprints (u, v) of the pairs of texts that are as similar as asked: exact, over the whole sets."""
     num, den = least
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    sets = materialize(_sets(texts.join(wanted, "h", "left_semi"), size).dropDuplicates(["h"]), "sets")
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
-    return both.where(F.size(F.array_intersect("sa", "sb")) * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("u", "v")
+    wanted, seen = counted(pairs.select(F.explode(F.array("a.x", "b.x")).alias("x")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if seen["n"] <= BROADCAST_TEXTS else wanted
+    sets = materialize(_sets(texts.join(wanted, "x", "left_semi"), size, fingerprints).dropDuplicates(["x", "fp"]), "sets")
+    side = lambda e: sets.select(F.col("x").alias(f"{e}x"), F.col("fp").alias(f"{e}fp"), F.col("s").alias(f"s{e}"))
+    both = pairs.select(F.col("a.x").alias("ax"), F.col("a.fp").alias("afp"), F.col("b.x").alias("bx"), F.col("b.fp").alias("bfp"))
+    both = both.join(side("a"), ["ax", "afp"]).join(side("b"), ["bx", "bfp"])
+    found = materialize(both.where(F.size(F.array_intersect("sa", "sb")) * (num + den) >= (F.size("sa") + F.size("sb")) * num).select(F.col("afp").alias("u"), F.col("bfp").alias("v")), "found")
+    discard(sets)
+    return found
 
 
-def join_components(docs: DataFrame, text: str, n_texts: int, stars: DataFrame, components: Callable, fingerprints: Callable, size: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
+#: Rounds of candidates; a round that finds no new pair is the last.
+ROUNDS = 4
+
+
+def join_components(docs: DataFrame, text: str, rows: DataFrame, stars: DataFrame, components: Callable, fingerprints: Callable, size: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """(node, root) as ``stars``, with the fingerprints of texts joined whose Jaccard similarity is ``least`` or more.
 
-    Two rounds compare the texts of a shared shingle with one of them each, which joins large groups of copies
-    without their pairs; the last compares every pair that is not yet in one group, so the groups are those of
-    all pairs.  A shingle whose texts are all in one group is not read again.
+    ``rows`` is what ``described`` makes with a hash x of the text; a text is known by x and fp.  Candidates share a
+    MinHash band; every link is a pair whose whole sets were compared.  The number of pairs stays in proportion to
+    the texts, so a pair that shares a band is compared directly only if one leads the band or is next to the
+    other in some round; others are joined through those, or are missed (the README has the measured recall).
     """
-    num, den = least
     texts = _hashed(docs, text)
-    left = prefixes(texts, n_texts, size, least, fingerprints).withColumn("root", F.col("fp"))
-    tested = None
-    for step in range(3):
-        left = _open(left, step).withColumn("x", F.struct("h", "fp", "n", "root"))
-        left = left.drop("m") if step == 2 else left
-        pairs = left.select("x", F.col("m").alias("y")) if step < 2 else left.select("key", "x").join(left.select("key", F.col("x").alias("y")), "key").where("x.h < y.h")
-        pairs = pairs.where((F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (F.col("x.root") != F.col("y.root")))
-        turned = F.col("x.h") > F.col("y.h")
-        ends = {"a": ("x.h", "y.h"), "b": ("y.h", "x.h"), "u": ("x.fp", "y.fp"), "v": ("y.fp", "x.fp")}
-        pairs = pairs.select(*(F.when(turned, F.col(q)).otherwise(F.col(p)).alias(c) for c, (p, q) in ends.items())).distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.take(1):
-            found = _verified(texts, pairs, size, least).select(F.col("u").alias("a"), F.col("v").alias("b"))
-            stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-            tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        left = left.select("key", "h", "fp", "n").join(stars, F.col("fp") == F.col("node"), "left").select("key", "h", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    known = materialize(rows.where("n > 0").select("x", "fp", "n", "bits", "bands").dropDuplicates(["x", "fp"]), "texts")
+    tested, held = None, []
+    for step in range(ROUNDS):
+        pairs = _candidates(known.select("x", "fp", "bands"), stars, step)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs, seen = counted(pairs, "pairs")
+        held.append(pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if not seen["n"]:
+            break
+        maybe, seen = counted(_maybe(pairs, known, least), "maybe")
+        if seen["n"]:
+            found = _verified(texts, maybe, size, least, fingerprints)
+            stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+            discard(found)
+        discard(maybe)
+    for table in (*held, known):
+        discard(table)
     return stars

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import overlap
-from .common import _SPACE, map_texts, materialize, slices, utf8, words
+from .common import _SPACE, counted, discard, fresh, join_heavy, map_texts, materialize, one_of_alike, row_key, slices, utf8, words
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -271,35 +271,43 @@ def near_links(nodes: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFra
     return found
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every linked node, the root being the smallest node reachable: alternating large and small stars."""
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every linked node, the root being the smallest node reachable: alternating large and small stars.
+
+    Rounds go on until the edges no longer change, however many that takes; each is written, with its number of edges
+    and two sums that tell a change, and the one before is deleted.
+    """
+    marks = [F.sum(F.xxhash64("u", "v") % 1000003).alias("a"), F.sum(F.xxhash64("v", "u") % 998244353).alias("b")]
+    edges, seen = counted(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", *marks)
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = materialize(small, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v", "u") % 998244353)).first())
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("k"))
+        large = join_heavy(both, low, "u", 2 * seen["n"], "k").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        small = join_heavy(large, low, "u", 2 * seen["n"], "k").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        later, now = counted(small, "edges", *marks)
+        discard(edges)
+        edges = later
         if now == seen:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_members(docs: DataFrame, radius: int, size: int, doc_id: str, text: str, shared: tuple[int, tuple[int, int]] | None = None) -> DataFrame:
-    """id, h (hash of the text), fp, root (the least fingerprint of its group) and component_id of every row."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
-    rows = materialize(with_fingerprint(rows, ["id", "h"], "t", size), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
+    """id, h and g (hashes of id and text), fp, root (the least fingerprint of its group) and component_id of every row."""
+    h, g = row_key(doc_id, text)
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), h.alias("h"), g.alias("g"), F.xxhash64(text).alias("x"))
+    own = ["id", "h", "g", "x"]
+    rows = with_fingerprint(rows, own, "t", size) if shared is None else overlap.described(rows, own, shared[0], lambda column: fingerprints(column, size))
+    rows, seen = counted(rows, "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("k")), "nodes")
     stars = components(near_links(nodes, radius))
     if shared is not None:
-        stars = overlap.join_components(docs, text, rows.count(), stars, components, lambda column: fingerprints(column, size), *shared)
-    rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+        stars = overlap.join_components(docs, text, rows, stars, components, lambda column: fingerprints(column, size), *shared)
+    rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "rep", "k", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("kk"))
+    named = join_heavy(rooted, least, "root", seen["n"], "kk")
+    return join_heavy(rows.select("id", "h", "g", "fp"), named, "fp", seen["n"], "k")
 
 
 def near_groups(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -315,16 +323,19 @@ def near_groups(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "
 
 
 def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "doc_id", text: str = "text", shared: tuple[int, tuple[int, int]] | None = None) -> DataFrame:
-    """``docs`` with one row of each group: the smallest doc_id, null last, then the smallest text hash.
+    """``docs`` with one row of each group: the smallest doc_id, null last, then the smallest hash of id and text.
 
     ``shared``, as (5, (4, 5)), also groups all texts whose sets of five-word shingles have a Jaccard similarity
-    of 4/5 or more.  Only ids, hashes, fingerprints and shingles are grouped; the texts move once, by a hash of
+    of 4/5 or more.  Only ids, hashes, fingerprints and shingles are grouped; the texts move once, by 128 bits of
     doc_id and text, to meet them.
 
-    * Null, empty and wordless texts share fingerprint zero and so one row of them stays; of repeated rows one stays.
-      No rows give an empty result.  All columns of the input come out as they are.
+    * Null, empty and wordless texts share fingerprint zero and so one row of them stays; of rows alike in id and text
+      the one whose other columns hash least stays.  No rows give an empty result.  All columns come out as they are.
     """
     rows = near_members(docs, radius, size, doc_id, text, shared)
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("k")).select(F.xxhash64("k.id", "k.h").alias("__k"))
-    once = docs.withColumn("__k", F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text)))).dropDuplicates(["__k"])
-    return once.join(first, "__k", "left_semi").drop("__k")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h", "g")).alias("k")).select("k.h", "k.g")
+    h, g = fresh(docs, "h", "g")
+    first = materialize(first.withColumnsRenamed({"h": h, "g": g}), "first")
+    own_h, own_g = row_key(doc_id, text)
+    once = docs.withColumns({h: own_h, g: own_g}).join(first, [h, g], "left_semi")
+    return one_of_alike(once, [h, g]).select(*(f"`{c}`" for c in docs.columns))
