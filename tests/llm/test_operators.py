@@ -344,8 +344,8 @@ def test_topk_against_brute_force(spark):
     for q, v in {(i, tuple(v)) for i, v in good if i is not None and i % 10 == 0}:
         found = sorted(((-sum(a * b for a, b in zip(v, w)), i is None, i or 0) for i, w in good if i != q))[:10]
         want.update((q, n + 1, None if null else i, -s) for n, (s, null, i) in enumerate(found))
-    for chunk, block in ((1000, 100), (17, 3)):
-        got = topk.exact_topk(df, F.col("vec_id") % 10 == 0, chunk=chunk, block=block).collect()
+    for chunk, block in ((1000, 1 << 20), (17, 400)):
+        got = topk.exact_topk(df, F.col("vec_id") % 10 == 0, chunk=chunk, block_bytes=block).collect()
         assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
 
 

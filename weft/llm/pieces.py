@@ -243,14 +243,38 @@ class Model:
                     out[i] = self.spelled(ids)
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of all texts end to end, and how many each text has."""
+    def parts(self, body: str, most: int) -> list[str]:
+        """A text in parts of about ``most`` characters, cut where no piece can reach across."""
+        out, at = [], 0
+        while len(body) - at > most:
+            window, cut = 4096, None
+            while cut is None and at + most + window // 2 < len(body):
+                found = np.flatnonzero(self.cuts(codes(body[at + most : at + most + window])))
+                cut, window = (at + most + int(found[0]) + 1 if len(found) else None), window * 4
+            if cut is None:
+                break
+            out.append(body[at:cut])
+            at = cut
+        return [*out, body[at:]]
+
+    def encode(self, texts: list[str | None], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all texts end to end, and how many each text has; long texts go part by part."""
         lead = SPACE if self.prefix else ""
         bodies = [lead + t.replace(" ", SPACE) if t else "" for t in texts]
+        if max(map(len, bodies), default=0) <= most:
+            return self._encode(bodies)
+        ids, count = [], []
+        for body in bodies:
+            own = [self._encode([part])[0] for part in self.parts(body, most)]
+            ids += own
+            count.append(sum(map(len, own)))
+        return np.concatenate(ids), np.array(count, np.int64)
+
+    def _encode(self, bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(b) for b in bodies], np.int64)
         cps = codes("".join(bodies))
         if not len(cps):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(bodies), np.int64)
         first = np.ones(len(cps), bool)
         first[1:] = self.cuts(cps)
         begins = np.cumsum(size) - size
@@ -282,14 +306,19 @@ class Model:
         total = np.cumsum(n)
         out = flat[np.repeat(base[inverse] - (total - n), n) + np.arange(int(total[-1]))]
         owner = np.searchsorted(np.cumsum(size), starts, side="right")
-        return out, np.bincount(owner, weights=n, minlength=len(texts)).astype(np.int64)
+        return out, np.bincount(owner, weights=n, minlength=len(bodies)).astype(np.int64)
 
     def decode(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of the texts end to end and their offsets."""
         n = (self.out_at[1:] - self.out_at[:-1])[ids]
         total = np.cumsum(n) if len(n) else np.zeros(0, np.int64)
         keep = np.ones(int(total[-1]) if len(n) else 0, bool)
-        raw = self.out[np.repeat(self.out_at[ids] - (total - n), n) + np.arange(len(keep))] if len(n) else np.zeros(0, np.uint8)
+        parts = []
+        for i in range(0, len(ids), 1 << 18):
+            own, m = ids[i : i + (1 << 18)], n[i : i + (1 << 18)]
+            end = np.cumsum(m)
+            parts.append(self.out[np.repeat(self.out_at[own] - (end - m), m) + np.arange(int(end[-1]))])
+        raw = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
         ends = np.concatenate([[0], total])[np.cumsum(count)] if len(count) else np.zeros(0, np.int64)
         at = np.concatenate([[0], ends]).astype(np.int64)
         if self.prefix:

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of one candidate chunk and of one query block: what one task holds.
-CHUNK, BLOCK = 40_000, 2_048
+from .common import counted, materialize, spread
+
+#: Rows of a candidate chunk that a task scores at once, and bytes of a block of queries, which every task gets.
+CHUNK, BLOCK_BYTES = 40_000, 8 << 20
 
 
 def quantise(vector: Column, scale: int = 1024) -> Column:
@@ -76,7 +78,20 @@ def best_of_chunk(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     })
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", vector: str = "embedding", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+def _kept(found: list[pa.Table], k: int) -> pa.Table:
+    """The k best of each query over the chunks of one task."""
+    both = pa.concat_tables(found)
+    if len(found) < 2:
+        return both
+    q, score = np.asarray(both.column("q")), np.asarray(both.column("score"))
+    ids = np.asarray(both.column("vec_id").fill_null(np.iinfo(np.int64).max))
+    order = np.lexsort((ids, -score, q))
+    first = np.flatnonzero(np.diff(q[order], prepend=q[order][:1] - 1))
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return both.take(pa.array(order[nth < k]))
+
+
+def exact_topk(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", vector: str = "embedding", chunk: int = CHUNK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row that ``is_query`` marks, the k rows of the highest integer inner product.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id, null last.
@@ -84,17 +99,46 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1
     * Vectors that are null or hold null or non-finite components take no part; empty vectors score 0.  Vectors
       of unlike length meet in their common components.  Scores are 64-bit integers.
     * A query never finds rows with its own id.  Query rows alike in id and vector are answered once.
-    * Candidates go round-robin into chunks of about ``chunk`` rows, queries into blocks of about ``block``;
-      each pair of them is one task, so memory is bounded whatever the sizes, and equal vectors or ids in any
-      number spread evenly.  No rows give an empty result.  Other columns are not read.
+    * Candidates stay where they lie.  The distinct queries, dealt by hash into blocks of about ``block_bytes``, go
+      to all tasks one block after another; a task scores its rows ``chunk`` by chunk and passes on its k best for each
+      query, which a shuffle by query merges.  No rows give an empty result.  Other columns are not read.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), quantise(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    counts = rows.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("m")).first()
-    chunks, blocks = max(1, math.ceil((counts["n"] or 0) / chunk)), max(1, math.ceil((counts["m"] or 0) / block))
-    rows = rows.where(F.col("v").isNotNull())
-    asks = rows.where("asks").select("id", "v").distinct().withColumn("q", F.xxhash64("id", "v"))
-    asks = asks.select("q", "id", "v", F.pmod("q", F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"))
-    held = rows.select("id", "v", F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    found = asks.groupBy("b", "c").cogroup(held.groupBy("b", "c")).applyInArrow(lambda q, r: best_of_chunk(q, r, k), "q long, query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id", "q").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), quantise(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("v is not null")
+    asks, seen = counted(rows.where("asks").select("id", "v").distinct().withColumn("q", F.xxhash64("id", "v")), "queries", F.sum(8 * F.size("v") + 64).alias("bytes"))
+    blocks, answers = max(1, math.ceil((seen["bytes"] or 0) / block_bytes)), None
+    held = spread(rows.select("id", "v"))
+    for b in range(blocks):
+        block = asks.where(F.pmod("q", F.lit(blocks)) == b).toArrow()
+        sent = spark.sparkContext.broadcast(_packed(block))
+
+        def run(batches, sent=sent):
+            queries = _unpacked(sent.value)
+            found, held_rows, n = [], [], 0
+            for batch in batches:
+                held_rows.append(pa.Table.from_batches([batch]))
+                n += batch.num_rows
+                if n >= chunk:
+                    found = [_kept([*found, best_of_chunk(queries, pa.concat_tables(held_rows), k)], k)]
+                    held_rows, n = [], 0
+            if n:
+                found = [_kept([*found, best_of_chunk(queries, pa.concat_tables(held_rows), k)], k)]
+            yield from (x for t in found for x in t.to_batches())
+
+        mine = held.mapInArrow(run, "q long, query_id long, vec_id long, score long")
+        best = W.partitionBy("query_id", "q").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+        mine = mine.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        mine = mine if blocks == 1 else materialize(mine, "answers")
+        answers = mine if answers is None else answers.unionByName(mine)
+    return answers
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()

@@ -10,6 +10,7 @@ table with a weight for each, and a word is scored by ten table lookups for each
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,12 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, map_texts, materialize, release, slices
+from .common import map_texts, materialize, release, slices
 
 ORDER, SPAN, DECAY, SYMBOLS = 4, 6, 0.6, 32
 OFFSETS = list(itertools.combinations(range(1, SPAN), ORDER - 1))
-#: Words longer than this are one class of length for the kernel's norm.
-LONGEST = 64
 _GONE = 255
 
 
@@ -106,15 +105,10 @@ def _room(sym: np.ndarray) -> np.ndarray:
     return nxt[np.maximum(own, 0)] - np.arange(len(sym))
 
 
-def _norms() -> np.ndarray:
-    """Root of K(x, x) by word length, all subsequences taken as unlike."""
-    out = np.ones(LONGEST + 1)
-    for n in range(1, LONGEST + 1):
-        out[n] = np.sqrt(max(1.0, sum(max(0, n + 2 - c) * DECAY ** (2 * (c + 1 - ORDER)) for _, _, c in OFFSETS)))
-    return out
-
-
-NORM = _norms()
+def norms(size: np.ndarray) -> np.ndarray:
+    """Root of K(x, x) by word length, all subsequences taken as unlike; it has no longest word."""
+    places = np.maximum(0, size[:, None] + 2 - np.array([c for _, _, c in OFFSETS]))
+    return np.sqrt(np.maximum(1.0, places @ np.array([DECAY ** (2 * (c + 1 - ORDER)) for _, _, c in OFFSETS])))
 
 
 def position_codes(sym: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -145,7 +139,7 @@ def word_scores(words: Words, table: np.ndarray, bias: float) -> np.ndarray:
     sums = np.zeros(len(sym) + 1)
     np.cumsum(total, out=sums[1:])
     size = words.size
-    return (sums[words.at + size + 1] - sums[words.at]) / NORM[np.minimum(size, LONGEST)] + bias
+    return (sums[words.at + size + 1] - sums[words.at]) / norms(size) + bias
 
 
 def document_features(scores: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -171,12 +165,10 @@ def document_features(scores: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the labelled sample and of the fit."""
+    """Bounds of the labelled sample, of which whole texts are read, and parameters of the fit."""
 
     toxic_docs: int = 1500
     clean_docs: int = 3000
-    chars: int = 1 << 15
-    words: int = 40_000
     landmarks: int = 384
     ratio: float = 3.0
     ridge: float = 1e-5
@@ -184,7 +176,7 @@ class Training:
 
 def _sparse(sym: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, code and weight of the subsequences of the words at ``at``."""
-    rows, codes, weights = [], [], []
+    rows, codes, weights, norm = [], [], [], norms(size)
     for a, b, c in OFFSETS:
         n = np.maximum(0, size + 2 - c)
         row = np.repeat(np.arange(len(at)), n)
@@ -192,7 +184,7 @@ def _sparse(sym: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
         s = sym.astype(np.int32)
         codes.append(((s[p] * SYMBOLS + s[p + a]) * SYMBOLS + s[p + b]) * SYMBOLS + s[p + c])
         rows.append(row)
-        weights.append(DECAY ** (c + 1 - ORDER) / NORM[np.minimum(size, LONGEST)][row])
+        weights.append(DECAY ** (c + 1 - ORDER) / norm[row])
     return np.concatenate(rows), np.concatenate(codes), np.concatenate(weights).astype(np.float32)
 
 
@@ -212,16 +204,21 @@ def _kernel(parts: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, known: np.
     return out
 
 
-def _svm(x: np.ndarray, up: np.ndarray, down: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
+def _svm(x: np.ndarray, up: np.ndarray, down: np.ndarray, ridge: float, steps: int = 12, part: int = 20_000) -> np.ndarray:
     """Squared-hinge linear SVM with a bias, each row with a weight as positive and one as negative, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x.shape[1])
+    n = x.shape[1]
+    w = np.zeros(n + 1)
     w[-1] = -1
-    penalty = np.append(np.full(x.shape[1] - 1, ridge), 1e-9)
+    penalty = np.append(np.full(n, ridge), 1e-9)
     for _ in range(steps):
-        f = x @ w
-        a, b = np.where(f < 1, up, 0), np.where(f > -1, down, 0)
-        new = np.linalg.solve((x * (a + b)[:, None]).T @ x + np.diag(penalty), x.T @ (a - b))
+        left, right = np.diag(penalty), np.zeros(n + 1)
+        for i in range(0, len(x), part):
+            rows = np.hstack([x[i : i + part], np.ones((len(x[i : i + part]), 1), x.dtype)])
+            f = rows @ w
+            a, b = np.where(f < 1, up[i : i + part], 0), np.where(f > -1, down[i : i + part], 0)
+            left = left + (rows * (a + b)[:, None]).T @ rows
+            right += rows.T @ (a - b)
+        new = np.linalg.solve(left, right)
         done = np.abs(new - w).max() < 1e-4
         w = new
         if done:
@@ -241,122 +238,162 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3e-3) -> np.ndarray:
     return w
 
 
-def _joined(parts: list[Words], step: int) -> Words:
-    """Streams of successive groups of ``step`` texts as one; the edge that opens a stream closes the one before."""
-    at, offset, syms = [], 0, []
-    for p in parts:
-        at.append(p.at + offset)
-        syms.append(p.sym if p is parts[-1] else p.sym[:-1])
-        offset += len(syms[-1])
-    return Words(np.concatenate(syms), np.concatenate(at), np.concatenate([p.doc + i * step for i, p in enumerate(parts)]))
-
-
-def _hashes(words: Words, step: int = 1 << 20) -> np.ndarray:
-    """Hash of each word, in parts of the stream, as the sums behind the hashes take eight bytes a symbol."""
-    out, size = np.zeros(len(words.at), np.uint64), words.size
-    for lo in range(0, len(words.at), step // 8):
-        at = words.at[lo : lo + step // 8]
-        end = at + size[lo : lo + step // 8] + 1
-        out[lo : lo + len(at)] = SpanHashes(words.sym[at[0] : end[-1]]).of(at - at[0], end - at[0])
+def doc_words(texts: list[str | None]) -> list[set[bytes]]:
+    """The distinct words of over two letters of each text, as the symbols from their opening edge on."""
+    out: list[set[bytes]] = []
+    for text in texts:
+        found: set[bytes] = set()
+        for part in parts_of(text):
+            words = word_stream([part])
+            raw = words.sym.tobytes()
+            found.update(raw[a : a + n + 1] for a, n in zip(words.at.tolist(), words.size.tolist()) if n > 2)
+        out.append(found)
     return out
 
 
-def _features(texts: list[str], table: np.ndarray, bias: float, chars: int) -> np.ndarray:
-    words = word_stream([t[:chars] for t in texts])
-    return document_features(word_scores(words, table, bias), words.doc, len(texts))
-
-
-def train(texts: list[str], labels: list[int], setting: Training = Training()) -> tuple[np.ndarray, np.ndarray]:
-    """Weight table of the subsequences and the coefficients that turn document features into a score.
+def train(known: list[bytes], up: np.ndarray, down: np.ndarray, n_up: int, n_down: int, setting: Training = Training()) -> tuple[np.ndarray, float]:
+    """Weight table of the subsequences and the bias, from distinct words and how many toxic and clean documents have them.
 
-    A sentence has its document's label and each of its words is an example under that label, once for
-    a document; a word's weight as positive is its share of the toxic documents, as negative ``ratio`` times
-    its share of the others.  Words met once in the sample tell nothing and are left out.  Half of the
-    landmarks are the words that lean most to the toxic side, half are drawn from all.  Two thirds of
-    the documents train the machine; its scores on the rest train the document score.
+    A sentence has its document's label and each of its words is an example under that label, once for a document;
+    a word's weight as positive is its share of the toxic documents, as negative ``ratio`` times its share of the
+    others.  Half of the landmarks are the words that lean most to the toxic side, half are drawn from all.
     """
-    y = np.array(labels)
     table = np.zeros(SYMBOLS**ORDER, np.float32)
-    if not len(y) or y.min() == y.max():
-        return table, np.array([30.0 if len(y) and y.min() == 1 else -30.0])
+    if not known:
+        return table, -1.0
     rng = np.random.default_rng(11)
-    words = _joined([word_stream([t[: setting.chars] for t in texts[i : i + 256]]) for i in range(0, len(y), 256)], 256)
-    size = words.size
-    h = _hashes(words)
-    fits = np.arange(len(y)) % 3 != 0
-    use = fits[words.doc] & (size > 2)
-    _, first, inverse = np.unique(h[use], return_index=True, return_inverse=True)
-    seen = np.unique(inverse.astype(np.int64) * len(y) + words.doc[use])
-    word, doc = seen // len(y), seen % len(y)
-    up = np.bincount(word, y[doc] == 1, len(first))
-    down = np.bincount(word, y[doc] == 0, len(first))
-    at = np.flatnonzero(use)[first]
-    often = np.flatnonzero(up + down >= 2)
-    often = often[np.argsort(-(up + down)[often], kind="stable")][: setting.words]
-    if not len(often):
-        return table, np.array([-30.0])
-    at, up, down = at[often], up[often], down[often]
-    n_up, n_down = max(1, (y[fits] == 1).sum()), max(1, (y[fits] == 0).sum())
-    lean = up * np.log(((up + 0.5) / n_up) / ((down + 0.5) / n_down))
+    sym = np.frombuffer(b"".join(known) + b"\0", np.uint8)
+    size = np.array([len(w) - 1 for w in known], np.int64)
+    at = np.cumsum(size + 1) - size - 1
+    lean = up * np.log(((up + 0.5) / max(1, n_up)) / ((down + 0.5) / max(1, n_down)))
     half = setting.landmarks // 2
     marks = np.unique(np.concatenate([np.argsort(-lean, kind="stable")[:half], rng.permutation(len(at))[: setting.landmarks - half]]))
-    sym = _padded(words.sym)
-    row, code, weight = _sparse(sym, words.at[at[marks]], size[at[marks]])
-    known, place = np.unique(code, return_inverse=True)
-    z = np.zeros((len(known), len(marks)), np.float32)
+    sym = _padded(sym)
+    row, code, weight = _sparse(sym, at[marks], size[marks])
+    codes, place = np.unique(code, return_inverse=True)
+    z = np.zeros((len(codes), len(marks)), np.float32)
     np.add.at(z, (place, row), weight)
     values, vectors = np.linalg.eigh((z.T @ z).astype(np.float64))
     some = values > values[-1] * 1e-6
     root = (vectors[:, some] / np.sqrt(values[some])).astype(np.float32)
-    x = _kernel(_sparse(sym, words.at[at], size[at]), len(at), known, z) @ root
-    w = _svm(x, up / n_up, setting.ratio * down / n_down, setting.ridge)
-    table[known] = z @ (root @ w[:-1]).astype(np.float32)
-    f = np.concatenate([_features(texts[i : i + 128], table, w[-1], setting.chars) for i in range(0, len(y), 128)])
-    held = ~fits if 0 < y[~fits].sum() < (~fits).sum() else np.ones(len(y), bool)
-    return table, np.append(_logistic(f[held], y[held]), w[-1])
+    parts = [slice(i, i + 20_000) for i in range(0, len(at), 20_000)]
+    x = np.concatenate([_kernel(_sparse(sym, at[p], size[p]), len(at[p]), codes, z) @ root for p in parts])
+    w = _svm(x, up / max(1, n_up), setting.ratio * down / max(1, n_down), setting.ridge)
+    table[codes] = z @ (root @ w[:-1]).astype(np.float32)
+    return table, float(w[-1])
+
+
+#: Texts longer than this are scored part by part.
+LONG_TEXT = 1 << 20
+_BETWEEN = re.compile(r"(?<=\w\w)\s+(?=\w\w)")
+
+
+def parts_of(text: str | None, most: int = LONG_TEXT) -> list[str | None]:
+    """A text in parts of ``most`` characters and some more, cut between two words of two letters or more."""
+    if not text or len(text) <= most:
+        return [text]
+    out, at = [], 0
+    while len(text) - at > most and (gap := _BETWEEN.search(text, at + most)):
+        out.append(text[at : gap.start()])
+        at = gap.end()
+    return [*out, text[at:]]
+
+
+def text_features(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarray:
+    """Document features of whole texts; of a long one only its word scores are held at once."""
+    cut = [parts_of(t) for t in texts]
+    if all(len(p) == 1 for p in cut):
+        words = word_stream(texts)
+        return document_features(word_scores(words, table, bias), words.doc, len(texts))
+    scores, doc = [], []
+    for i, parts in enumerate(cut):
+        for part in parts:
+            own = word_scores(word_stream([part]), table, bias).astype(np.float32)
+            scores.append(own)
+            doc.append(np.full(len(own), i, np.int64))
+    return document_features(np.concatenate(scores), np.concatenate(doc), len(texts))
 
 
 def score_texts(texts: list[str | None], table: np.ndarray, head: np.ndarray) -> np.ndarray:
     if len(head) == 1:  # no two classes to tell apart
         return np.full(len(texts), 1 / (1 + np.exp(-head[0])))
-    words = word_stream(texts)
-    f = document_features(word_scores(words, table, head[-1]), words.doc, len(texts))
+    f = text_features(texts, table, head[-1])
     return 1 / (1 + np.exp(-np.clip(f @ head[:-2] + head[-2], -30, 30)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, setting: Training, doc_id: str, text: str) -> DataFrame:
-    """The bounded labelled sample (text, y): of each class the documents with the lowest hashes, fold 0 left out."""
+    """The bounded labelled sample (t, y, fits): of each class the documents with the lowest hashes, fold 0 left out.
+
+    ``fits`` marks two thirds, which train the machine; its scores on the rest train the document score.
+    """
     known = labels.where("toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     order = F.xxhash64("doc_id")
     # at most toxic_docs + clean_docs ids: the broadcast has that bound
     ids = known.where("y = 1").orderBy(order, "doc_id").limit(setting.toxic_docs).unionByName(known.where("y = 0").orderBy(order, "doc_id").limit(setting.clean_docs))
-    some = docs.select(F.col(doc_id).alias("id"), F.substring(F.col(text), 1, setting.chars).alias("t")).where("t is not null")
-    return some.join(F.broadcast(ids), F.col("id") == F.col("doc_id")).groupBy("id").agg(F.min("t").alias("t"), F.max("y").alias("y"))
+    some = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(ids), F.col("id") == F.col("doc_id"))
+    return some.groupBy("id").agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y", (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3)) != 0).alias("fits"))
+
+
+def fitted(rows: DataFrame, setting: Training) -> tuple[np.ndarray, np.ndarray]:
+    """Weight table, and the coefficients that turn document features into a score, of a sample.
+
+    Words are made and counted where the sample's texts lie; one task fits the machine on the distinct words that
+    two documents or more have, and the document features of at most the sample's rows reach the driver.
+    """
+    rows = materialize(rows, "sample")
+    count = {(r["y"], r["fits"]): r["n"] for r in rows.groupBy("y", "fits").agg(F.count("*").alias("n")).collect()}
+    total = [sum(n for (y, _), n in count.items() if y == k) for k in (0, 1)]
+    if not all(total):
+        return np.zeros(SYMBOLS**ORDER, np.float32), np.array([30.0 if total[1] else -30.0])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "t", 1 << 19):
+            own = doc_words(piece.column("t").to_pylist())
+            y = np.repeat(np.asarray(piece.column("y")), [len(w) for w in own])
+            yield pa.RecordBatch.from_arrays([pa.array([w for d in own for w in d], pa.binary()), pa.array(y, pa.int32())], ["w", "y"])
+
+    counts = map_texts(rows.where("fits").select("t", "y"), words, "w binary, y int").groupBy("w").agg(F.sum("y").alias("up"), F.sum(1 - F.col("y")).alias("down")).where("up + down >= 2")
+    n_down, n_up = count.get((0, True), 0), count.get((1, True), 0)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[tuple[bytes, int, int]] = []
+        for b in batches:
+            known += zip(b.column("w").to_pylist(), b.column("up").to_pylist(), b.column("down").to_pylist())
+        known.sort()
+        up, down = (np.array([k[i] for k in known], np.float64) for i in (1, 2))
+        table, bias = train([bytes(k[0]) for k in known], up, down, n_up, n_down, setting)
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([bias])], ["w", "b"])
+        del known
+        release()
+
+    got = materialize(counts.repartition(1).mapInArrow(fit, "w binary, b double"), "toxicity").first()
+    table, bias = (np.frombuffer(bytes(got["w"]), np.float32), got["b"]) if got is not None else (np.zeros(SYMBOLS**ORDER, np.float32), -1.0)
+    sent = rows.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(sent.value, np.float32)
+        for piece in slices(batches, "t", 1 << 19):
+            f = text_features(piece.column("t").to_pylist(), held, bias)
+            yield pa.RecordBatch.from_arrays([piece.column("y"), piece.column("fits"), pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), f.shape[1]).cast(pa.list_(pa.float64()))], ["y", "fits", "f"])
+
+    seen = sorted(map(tuple, map_texts(rows, features, "y int, fits boolean, f array<double>").collect()))
+    y, fits, f = np.array([r[0] for r in seen]), np.array([r[1] for r in seen]), np.array([r[2] for r in seen])
+    held = ~fits if 0 < y[~fits].sum() < (~fits).sum() else np.ones(len(y), bool)
+    return table, np.append(_logistic(f[held], y[held]), bias)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, setting: Training = Training(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every whole text.
 
-    ``labels`` (doc_id, toxic) trains on a bounded sample of its rows, ``Training`` documents the bounds, and never
-    on rows with crc32(doc_id) mod 5 = 0.  The fit runs in one task on that sample; its 4 MB table is broadcast.
+    ``labels`` (doc_id, toxic) trains on the whole texts of a bounded sample of its rows, ``Training`` documents the
+    bounds, and never on rows with crc32(doc_id) mod 5 = 0.  The machine's 4 MB table is broadcast.
 
     * Null and empty texts have no sentence and get the score of none.  A null doc_id is not held out.  Equal
       texts score alike.  With no labels, or labels of one class, every score is near that class (0 for none).
       No rows give an empty result.  Columns other than doc_id and text are not read.
     """
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["id"])
-        table, head = train([r["t"] for r in rows], [r["y"] for r in rows], setting)
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([head.tobytes()])], ["w", "h"])
-        del rows
-        release()
-
-    fitted = materialize(sample(docs, labels, setting, doc_id, text).repartition(1).mapInArrow(fit, "w binary, h binary"), "toxicity").first()
-    if fitted is None:  # no labelled rows reached the task
-        table, head = train([], [])
-        fitted = {"w": table.tobytes(), "h": head.tobytes()}
-    model = docs.sparkSession.sparkContext.broadcast((bytes(fitted["w"]), bytes(fitted["h"])))
+    table, head = fitted(sample(docs, labels, setting, doc_id, text), setting)
+    model = docs.sparkSession.sparkContext.broadcast((table.tobytes(), head.tobytes()))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
