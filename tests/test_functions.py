@@ -218,5 +218,5 @@ def test_ranks_over_ranges(spark):
 def test_nearest_vectors(spark):
     df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)] + [(99, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     a = vectors.nearest(df, F.col("vec_id") % 10 == 0, 3).collect()
-    b = vectors.nearest(df, F.col("vec_id") % 10 == 0, 3, chunk=7, block=2).collect()
+    b = vectors.nearest(df, F.col("vec_id") % 10 == 0, 3, chunk=7, block_bytes=600).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 12

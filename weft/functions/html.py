@@ -60,7 +60,8 @@ def title(html: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in one tag's text, '' if absent."""
-    return decoded(F.coalesce(F.nullif(F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*"([^"]*)\"""", 1), F.lit("")), F.nullif(F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*'([^']*)'""", 1), F.lit("")), F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*([^\s"'>]+)""", 1)))
+    quoted = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return decoded(F.regexp_replace(quoted, "^[\"']|[\"']$", ""))
 
 
 def tags(html: Column, name: str) -> Column:
@@ -125,11 +126,14 @@ def base(html: Column, url: Column) -> Column:
 def anchors(html: Column) -> Column:
     """Array of (href, text, rel) of all anchors with a usable reference."""
     found = F.regexp_extract_all(live(html), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
-    opening = lambda a: F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0)
-    made = F.transform(found, lambda a: F.struct(F.trim(attribute(opening(a), "href")).alias("href"), _plain(a).alias("text"), attribute(opening(a), "rel").alias("rel")))
+    made = F.transform(found, lambda a: _one(F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0), lambda tag: F.struct(F.trim(attribute(tag, "href")).alias("href"), _plain(a).alias("text"), attribute(tag, "rel").alias("rel"))))
     return F.filter(made, lambda a: (a["href"] != "") & ~a["href"].startswith("#") & ~F.lower(a["href"]).startswith("javascript:"))
 
 
+def _one(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def json_ld(html: Column) -> Column:
     """The JSON-LD blocks that parse, as text."""
     blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""), F.lit(1))

@@ -8,45 +8,41 @@ from pyspark.sql import functions as F
 from . import urls
 
 # fixed values: country, time zone, currency, language, search domain, right-to-left, name, date format
-COUNTRIES = """
-US America/New_York USD en-US google.com 0 MM/DD/YYYY United States
-GB Europe/London GBP en-GB google.co.uk 0 DD/MM/YYYY United Kingdom
-DE Europe/Berlin EUR de-DE google.de 0 DD.MM.YYYY Germany
-FR Europe/Paris EUR fr-FR google.fr 0 DD/MM/YYYY France
-JP Asia/Tokyo JPY ja-JP google.co.jp 0 YYYY/MM/DD Japan
-CN Asia/Shanghai CNY zh-CN baidu.com 0 YYYY/MM/DD China
-AU Australia/Sydney AUD en-AU google.com.au 0 DD/MM/YYYY Australia
-CA America/Toronto CAD en-CA google.ca 0 YYYY-MM-DD Canada
-IT Europe/Rome EUR it-IT google.it 0 DD/MM/YYYY Italy
-ES Europe/Madrid EUR es-ES google.es 0 DD/MM/YYYY Spain
-RU Europe/Moscow RUB ru-RU yandex.ru 0 DD.MM.YYYY Russia
-BR America/Sao_Paulo BRL pt-BR google.com.br 0 DD/MM/YYYY Brazil
-IN Asia/Kolkata INR hi-IN google.co.in 0 DD/MM/YYYY India
-KR Asia/Seoul KRW ko-KR google.co.kr 0 YYYY.MM.DD South Korea
-MX America/Mexico_City MXN es-MX google.com.mx 0 DD/MM/YYYY Mexico
-NL Europe/Amsterdam EUR nl-NL google.nl 0 DD-MM-YYYY Netherlands
-SE Europe/Stockholm SEK sv-SE google.se 0 YYYY-MM-DD Sweden
-NO Europe/Oslo NOK nb-NO google.no 0 DD.MM.YYYY Norway
-SA Asia/Riyadh SAR ar-SA google.com.sa 1 DD/MM/YYYY Saudi Arabia
-AE Asia/Dubai AED ar-AE google.ae 1 DD/MM/YYYY United Arab Emirates
-TR Europe/Istanbul TRY tr-TR google.com.tr 0 DD.MM.YYYY Turkey
-IL Asia/Jerusalem ILS he-IL google.co.il 1 DD.MM.YYYY Israel
-TH Asia/Bangkok THB th-TH google.co.th 0 DD/MM/YYYY Thailand
-SG Asia/Singapore SGD en-SG google.com.sg 0 DD/MM/YYYY Singapore
-PL Europe/Warsaw PLN pl-PL google.pl 0 DD.MM.YYYY Poland
-ZA Africa/Johannesburg ZAR en-ZA google.co.za 0 YYYY/MM/DD South Africa
-"""
+COUNTRIES = [
+    ("US", "America/New_York", "USD", "en-US", "google.com", False, "MM/DD/YYYY", "United States"),
+    ("GB", "Europe/London", "GBP", "en-GB", "google.co.uk", False, "DD/MM/YYYY", "United Kingdom"),
+    ("DE", "Europe/Berlin", "EUR", "de-DE", "google.de", False, "DD.MM.YYYY", "Germany"),
+    ("FR", "Europe/Paris", "EUR", "fr-FR", "google.fr", False, "DD/MM/YYYY", "France"),
+    ("JP", "Asia/Tokyo", "JPY", "ja-JP", "google.co.jp", False, "YYYY/MM/DD", "Japan"),
+    ("CN", "Asia/Shanghai", "CNY", "zh-CN", "baidu.com", False, "YYYY/MM/DD", "China"),
+    ("AU", "Australia/Sydney", "AUD", "en-AU", "google.com.au", False, "DD/MM/YYYY", "Australia"),
+    ("CA", "America/Toronto", "CAD", "en-CA", "google.ca", False, "YYYY-MM-DD", "Canada"),
+    ("IT", "Europe/Rome", "EUR", "it-IT", "google.it", False, "DD/MM/YYYY", "Italy"),
+    ("ES", "Europe/Madrid", "EUR", "es-ES", "google.es", False, "DD/MM/YYYY", "Spain"),
+    ("RU", "Europe/Moscow", "RUB", "ru-RU", "yandex.ru", False, "DD.MM.YYYY", "Russia"),
+    ("BR", "America/Sao_Paulo", "BRL", "pt-BR", "google.com.br", False, "DD/MM/YYYY", "Brazil"),
+    ("IN", "Asia/Kolkata", "INR", "hi-IN", "google.co.in", False, "DD/MM/YYYY", "India"),
+    ("KR", "Asia/Seoul", "KRW", "ko-KR", "google.co.kr", False, "YYYY.MM.DD", "South Korea"),
+    ("MX", "America/Mexico_City", "MXN", "es-MX", "google.com.mx", False, "DD/MM/YYYY", "Mexico"),
+    ("NL", "Europe/Amsterdam", "EUR", "nl-NL", "google.nl", False, "DD-MM-YYYY", "Netherlands"),
+    ("SE", "Europe/Stockholm", "SEK", "sv-SE", "google.se", False, "YYYY-MM-DD", "Sweden"),
+    ("NO", "Europe/Oslo", "NOK", "nb-NO", "google.no", False, "DD.MM.YYYY", "Norway"),
+    ("SA", "Asia/Riyadh", "SAR", "ar-SA", "google.com.sa", True, "DD/MM/YYYY", "Saudi Arabia"),
+    ("AE", "Asia/Dubai", "AED", "ar-AE", "google.ae", True, "DD/MM/YYYY", "United Arab Emirates"),
+    ("TR", "Europe/Istanbul", "TRY", "tr-TR", "google.com.tr", False, "DD.MM.YYYY", "Turkey"),
+    ("IL", "Asia/Jerusalem", "ILS", "he-IL", "google.co.il", True, "DD.MM.YYYY", "Israel"),
+    ("TH", "Asia/Bangkok", "THB", "th-TH", "google.co.th", False, "DD/MM/YYYY", "Thailand"),
+    ("SG", "Asia/Singapore", "SGD", "en-SG", "google.com.sg", False, "DD/MM/YYYY", "Singapore"),
+    ("PL", "Europe/Warsaw", "PLN", "pl-PL", "google.pl", False, "DD.MM.YYYY", "Poland"),
+    ("ZA", "Africa/Johannesburg", "ZAR", "en-ZA", "google.co.za", False, "YYYY/MM/DD", "South Africa"),
+]
 NUMBER_FORMATS = {"US": "1,234.56", "GB": "1,234.56", "DE": "1.234,56", "FR": "1 234,56"}
 FIRST_DAYS = {"US": 0, "GB": 1, "DE": 1, "FR": 1}
 DATE_RESTRICT = {"day": "d1", "week": "w1", "month": "m1", "year": "y1"}
 
 
 def rows() -> list[tuple]:
-    out = []
-    for line in COUNTRIES.strip().splitlines():
-        code, zone, currency, language, domain, rtl, date, name = line.split(" ", 7)
-        out.append((code, zone, currency, language, domain, rtl == "1", date, name))
-    return out
+    return list(COUNTRIES)
 
 
 def countries(spark: SparkSession) -> DataFrame:

@@ -31,7 +31,28 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(words(text))
+    """Words, counted without making them."""
+    return F.regexp_count(text, F.lit(r"\S+"))
+
+
+def n_spaced(text: Column) -> Column:
+    """Pieces between white space, empty ones at the ends too."""
+    return F.regexp_count(text, F.lit(r"\s+")) + 1
+
+
+def n_solid(text: Column) -> Column:
+    """Characters that are no white space."""
+    return F.length(F.regexp_replace(text, r"\s+", ""))
+
+
+def n_sentences(text: Column) -> Column:
+    """Size of ``sentences``."""
+    return F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit(r"(?<=[.!?])\s+(?=\S)")) + 1)
+
+
+def n_sentences_simple(text: Column) -> Column:
+    """Size of ``sentences_simple``."""
+    return F.regexp_count(text, F.lit(r"[^.!?\s][^.!?]*"))
 
 
 def tokens(text: Column, longer_than: int = 1) -> Column:
@@ -72,9 +93,9 @@ def statistics(text: Column) -> dict[str, Column]:
     w = n_words(text)
     return {
         "characters": F.length(text),
-        "characters_no_spaces": F.length(F.regexp_replace(text, r"\s", "")),
+        "characters_no_spaces": n_solid(text),
         "words": w,
-        "sentences": F.size(sentences(text)),
+        "sentences": n_sentences(text),
         "paragraphs": F.size(paragraphs(text)),
         "reading_minutes": F.ceil(w / 200),
     }
@@ -93,8 +114,29 @@ def syllables_letters(word: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(letters, F.lit("[aeiouy]+")))
 
 
-def total(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
+
+
+def syllable_sum(text: Column) -> Column:
+    """Sum of ``syllables`` over the words of a text, by a few scans of it and none of its words.
+
+    Of words over three characters: their vowel groups, less one for each final e, and one for each word that this
+    leaves with none, which has no vowel or only one group that ends in the final e.
+    """
+
+    def counted(low: Column) -> Column:
+        long = F.regexp_replace(low, r"(?<!\S)\S{1,3}(?!\S)", "")
+        short = _count(low, r"(?<!\S)\S{1,3}(?!\S)")
+        return short + let(long, lambda t: _count(t, "[aeiouy]+") - _count(t, r"e(?!\S)") + (_count(t, r"\S+") - _count(t, r"[aeiouy]\S*")) + _count(t, r"(?<!\S)[^\saeiouy]*+[aeiouy]*(?<=e)(?!\S)"))
+
+    return let(F.lower(text), counted)
+
+
+def syllable_letters_sum(text: Column) -> Column:
+    """Sum of ``syllables_letters`` over the words: all vowel groups, and one for each word without any."""
+    letters = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z\s]+", ""), r"e(?!\S)", "")
+    return let(letters, lambda t: _count(t, "[aeiouy]+") - _count(t, r"[aeiouy]\S*")) + n_words(text)
 
 
 def flesch(words_per_sentence: Column, per_word: Column) -> Column:
@@ -105,28 +147,43 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def measures(text: Column) -> Column:
+    """What the forms of readability are made of, each counted once: words, sentences, marks, solid, syllables, letters."""
+    return F.struct(n_words(text).alias("words"), n_sentences(text).alias("sentences"), n_sentences_simple(text).alias("marks"), n_solid(text).alias("solid"), syllable_sum(text).alias("syllables"), syllable_letters_sum(text).alias("letters"))
+
+
+def readability(text: Column) -> Column:
+    """Struct of four Flesch forms.
+
+    ``syllables``: true sentences, counted syllables; not clamped, as its level needs.  ``letters``: sentence marks,
+    syllables of letters; not clamped.  ``by_length``: characters of a word over 4.7 stand for its syllables; clamped.
+    ``raw_length``: characters of a word as they are; kept for parity.
+    """
+
+    def forms(m: Column) -> Column:
+        per, long = ratio(m["words"], m["marks"]), ratio(m["solid"], m["words"])
+        return F.struct(
+            flesch(ratio(m["words"], m["sentences"]), ratio(m["syllables"], m["words"])).alias("syllables"), flesch(per, ratio(m["letters"], m["words"])).alias("letters"),
+            clamp(flesch(per, long / 4.7)).alias("by_length"), flesch(per, long).alias("raw_length"),
+        )
+
+    return let(measures(text), forms)
+
+
 def flesch_by_syllables(text: Column) -> Column:
-    """Form A: true sentences, counted syllables; not clamped, as its level needs."""
-    w = n_words(text)
-    return flesch(ratio(w, F.size(sentences(text))), ratio(total(F.transform(words(text), syllables)), w))
+    return readability(text)["syllables"]
 
 
 def flesch_by_letters(text: Column) -> Column:
-    """Form B: sentence marks, syllables of letters; not clamped."""
-    w = n_words(text)
-    return flesch(ratio(w, F.size(sentences_simple(text))), ratio(total(F.transform(words(text), syllables_letters)), w))
+    return readability(text)["letters"]
 
 
 def flesch_by_length(text: Column) -> Column:
-    """Form C: characters of a word over 4.7 stand for its syllables; clamped."""
-    w = n_words(text)
-    return clamp(flesch(ratio(w, F.size(sentences_simple(text))), ratio(F.length(F.regexp_replace(text, r"\s", "")), w) / 4.7))
+    return readability(text)["by_length"]
 
 
 def flesch_raw_length(text: Column) -> Column:
-    """Form D: characters of a word as they are; kept for parity."""
-    w = n_words(text)
-    return flesch(ratio(w, F.size(sentences_simple(text))), ratio(F.length(F.regexp_replace(text, r"\s", "")), w))
+    return readability(text)["raw_length"]
 
 
 def readability_level(score: Column) -> Column:
@@ -134,39 +191,48 @@ def readability_level(score: Column) -> Column:
 
 
 def research_readability(text: Column) -> Column:
-    avg = F.size(F.split(text, " ")) / F.greatest(F.size(F.split(text, "[.!?]")), F.lit(1))
+    avg = (_count(text, " ") + 1) / (_count(text, "[.!?]") + 1)
     return F.when(text.isNull() | (text == ""), 0.5).when(avg < 15, 0.8).when(avg < 20, 0.6).otherwise(0.4)
 
 
 def boilerplate(text: Column) -> Column:
     """Share of boilerplate phrases: min(1, 10 * frequency + 5 * share of characters)."""
-    hits, length = F.lit(0), F.lit(0)
-    for phrase in L.BOILERPLATE:
-        n = F.regexp_count(F.lower(text), F.lit(phrase))
-        hits, length = hits + n, length + n * len(phrase)
-    return F.least(F.lit(1.0), 10 * ratio(hits, F.size(F.split(text, r"\s+"))) + 5 * ratio(length, F.length(text)))
-
-
-def quality(text: Column) -> dict[str, Column]:
-    """100 less penalties, the reasons, and whether half of it is left."""
-    w, s = n_words(text), F.size(sentences_simple(text))
-    per, bp = ratio(w, s), boilerplate(text)
-    ease = clamp(flesch_by_letters(text))
-    rules = [
-        (F.length(text) < 100, F.lit(30), "too short"),
-        (F.length(text) > 50000, F.lit(10), "very long"),
-        (w < 20, F.lit(25), "too few words"),
-        (per < 5, F.lit(15), "very short sentences"),
-        (per > 30, F.lit(10), "very long sentences"),
-        (bp > 0.3, F.floor(bp * 50 + 0.5), "boilerplate"),
-        (ease < 30, F.lit(10), "poor readability"),
-    ]
-    lost = F.lit(0)
-    for test, penalty, _ in rules:
-        lost = lost + F.when(test, penalty).otherwise(0)
-    score = F.when(text == "", 0).otherwise(100 - lost)
-    reasons = F.filter(F.array(*(F.when(test, reason) for test, _, reason in rules)), lambda r: r.isNotNull())
-    return {"score": F.greatest(F.lit(0), score).cast("int"), "valid": score >= 50, "reasons": F.array_join(reasons, "; ")}
+
+    def share(low: Column) -> Column:
+        hits, length = F.lit(0), F.lit(0)
+        for phrase in L.BOILERPLATE:
+            gone = F.length(low) - F.length(F.replace(low, F.lit(phrase), F.lit("")))
+            hits, length = hits + gone / len(phrase), length + gone
+        return F.least(F.lit(1.0), 10 * ratio(hits, n_spaced(text)) + 5 * ratio(length, F.length(text)))
+
+    return let(F.lower(text), share)
+
+
+def quality(text: Column) -> Column:
+    """Struct of score (100 less penalties), whether half of it is left (valid), and the reasons."""
+
+    def judged(m: Column) -> Column:
+        w, bp = m["words"], m["boilerplate"]
+        per = ratio(w, m["marks"])
+        ease = clamp(flesch(per, ratio(m["letters"], w)))
+        rules = [
+            (F.length(text) < 100, F.lit(30), "too short"),
+            (F.length(text) > 50000, F.lit(10), "very long"),
+            (w < 20, F.lit(25), "too few words"),
+            (per < 5, F.lit(15), "very short sentences"),
+            (per > 30, F.lit(10), "very long sentences"),
+            (bp > 0.3, F.floor(bp * 50 + 0.5), "boilerplate"),
+            (ease < 30, F.lit(10), "poor readability"),
+        ]
+        lost = F.lit(0)
+        for test, penalty, _ in rules:
+            lost = lost + F.when(test, penalty).otherwise(0)
+        score = F.when(text == "", 0).otherwise(100 - lost)
+        reasons = F.filter(F.array(*(F.when(test, reason) for test, _, reason in rules)), lambda r: r.isNotNull())
+        return F.struct(F.greatest(F.lit(0), score).cast("int").alias("score"), (score >= 50).alias("valid"), F.array_join(reasons, "; ").alias("reasons"))
+
+    counted = F.struct(n_words(text).alias("words"), n_sentences_simple(text).alias("marks"), syllable_letters_sum(text).alias("letters"), boilerplate(text).alias("boilerplate"))
+    return let(counted, judged)
 
 
 def ascii_tokens(text: Column) -> Column:
@@ -178,65 +244,92 @@ def _hits(toks: Column, lexicon: list[str]) -> Column:
     return F.size(F.filter(toks, lambda t: t.isin(*lexicon)))
 
 
-def sentiment(text: Column) -> dict[str, Column]:
-    """Polarity over all words, its label, and confidence by hits (form A)."""
+def sentiment(text: Column) -> Column:
+    """Struct of polarity over all words, its label, and confidence by hits (form A)."""
+
+    def judged(c: Column) -> Column:
+        p, n, w = c["p"], c["n"], c["w"]
+        polarity = ratio(p - n, w)
+        return F.struct(
+            round_half_up(polarity).alias("polarity"), round_half_up(ratio(p + n, w)).alias("subjectivity"),
+            F.when(polarity > 0.1, "positive").when(polarity < -0.1, "negative").otherwise("neutral").alias("label"),
+            F.when(p + n == 0, 0.5).otherwise(round_half_up(F.least(F.lit(1.0), (p + n) / 10))).alias("confidence"),
+            F.when(p + n == 0, 0.0).otherwise((p - n) / (p + n)).alias("balance"),
+        )
+
     toks = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]", " "), r"\s+"), lambda w: w != "")
-    p, n, w = _hits(toks, L.POSITIVE), _hits(toks, L.NEGATIVE), F.size(toks)
-    polarity = ratio(p - n, w)
-    return {
-        "polarity": round_half_up(polarity),
-        "subjectivity": round_half_up(ratio(p + n, w)),
-        "label": F.when(polarity > 0.1, "positive").when(polarity < -0.1, "negative").otherwise("neutral"),
-        "confidence": F.when(p + n == 0, 0.5).otherwise(round_half_up(F.least(F.lit(1.0), (p + n) / 10))),
-        "balance": F.when(p + n == 0, 0.0).otherwise((p - n) / (p + n)),
-    }
+    return let(let(toks, lambda t: F.struct(_hits(t, L.POSITIVE).alias("p"), _hits(t, L.NEGATIVE).alias("n"), F.size(t).alias("w"))), judged)
 
 
 def emotions(text: Column) -> Column:
     """Array of (emotion, intensity) of the emotions found, strongest five first, equals in order of the lexicon."""
-    low = F.lower(text)
-    per = F.greatest(F.size(F.split(low, r"\s+")) / 100, F.lit(1))
-    rows = []
-    toks = ascii_tokens(low)
-    for i, (name, keys) in enumerate(L.EMOTIONS.items()):
-        n = _hits(toks, [k for k in keys if " " not in k])
-        for k in keys:
-            if " " in k:
-                n = n + F.when(F.contains(low, F.lit(k)), F.regexp_count(low, F.lit(rf"{EDGE}{k}{EDGE}"))).otherwise(0)
-        rows.append(F.struct((-round_half_up(F.least(F.lit(1.0), n / per))).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("name"), n.alias("n")))
-    found = F.slice(F.array_sort(F.filter(F.array(*rows), lambda x: x["n"] > 0)), 1, 5)
-    return F.transform(found, lambda x: F.struct(x["name"].alias("emotion"), (-x["s"]).alias("intensity")))
-
-
-def vocabulary(text: Column) -> dict[str, Column]:
+
+    def found(x: Column) -> Column:
+        per, rows = F.greatest(n_spaced(x["low"]) / 100, F.lit(1)), []
+        for i, (name, keys) in enumerate(L.EMOTIONS.items()):
+            n = _hits(x["toks"], [k for k in keys if " " not in k])
+            for k in keys:
+                if " " in k:
+                    n = n + F.when(F.contains(x["low"], F.lit(k)), _count(x["low"], rf"{EDGE}{k}{EDGE}")).otherwise(0)
+            rows.append(F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), n.alias("n")))
+        scored = F.transform(F.filter(F.array(*rows), lambda r: r["n"] > 0), lambda r: F.struct((-round_half_up(F.least(F.lit(1.0), r["n"] / per))).alias("s"), r["i"].alias("i"), r["name"].alias("name")))
+        return F.transform(F.slice(F.array_sort(scored), 1, 5), lambda x: F.struct(x["name"].alias("emotion"), (-x["s"]).alias("intensity")))
+
+    known = [k for keys in L.EMOTIONS.values() for k in keys if " " not in k]
+    shared = lambda low: F.struct(low.alias("low"), F.filter(ascii_tokens(low), lambda t: t.isin(*known)).alias("toks"))
+    return let(let(F.lower(text), shared), found)
+
+
+def vocabulary(text: Column) -> Column:
+    """Struct of unique_words, richness (unique of all) and diversity (met once of unique)."""
     w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: F.length(x) > 2)
 
     def counted(o: Column) -> Column:
         same = lambda x, i, step: F.coalesce(F.get(o, i + step) == x, F.lit(False))
         return F.struct(F.size(o).alias("n"), F.size(F.filter(o, lambda x, i: (i == 0) | ~same(x, i, -1))).alias("u"), F.size(F.filter(o, lambda x, i: ((i == 0) | ~same(x, i, -1)) & ~same(x, i, 1))).alias("once"))
 
-    c = let(F.sort_array(w), counted)
-    return {"unique_words": c["u"], "richness": round_half_up(ratio(c["u"], c["n"])), "diversity": round_half_up(ratio(c["once"], c["u"]))}
+    return let(let(F.sort_array(w), counted), lambda c: F.struct(c["u"].alias("unique_words"), round_half_up(ratio(c["u"], c["n"])).alias("richness"), round_half_up(ratio(c["once"], c["u"])).alias("diversity")))
+
+
+def runs(items: Column) -> Column:
+    """Array of (n, term) of the distinct items of an array, in order of the items."""
+
+    def cut(o: Column) -> Column:
+        starts = F.filter(F.transform(o, lambda x, i: F.when((i == 0) | (F.get(o, i - 1) != x), i)), lambda i: i.isNotNull())
+        return let(starts, lambda a: F.transform(a, lambda at, k: F.struct((F.coalesce(F.get(a, k + 1), F.size(o)) - at).alias("n"), F.get(o, at).alias("term"))))
+
+    return let(F.sort_array(items), cut)
+
+
+def language(text: Column) -> Column:
+    """Struct of the language of the most stop words, the first of equals, and a confidence from their density.
+
+    Words of the lists stand between ASCII word edges; those with other letters are searched one by one.
+    """
+    plain = {lang: [w for w in dict.fromkeys(ws) if w.isascii()] for lang, ws in L.STOP_WORDS.items()}
 
+    def of_list(found: Column, listed: list[str]) -> Column:
+        return F.aggregate(F.filter(found, lambda r: r["term"].isin(*listed)), F.lit(0), lambda a, r: a + r["n"])
 
-def stop_word_hits(text: Column, lang: str) -> Column:
-    """Words of the language's list between ASCII word edges; words with other letters are searched one by one."""
-    low, plain = F.lower(text), [w for w in dict.fromkeys(L.STOP_WORDS[lang]) if w.isascii()]
-    n = _hits(ascii_tokens(low), plain)
-    for w in L.STOP_WORDS[lang]:
-        if not w.isascii():
-            n = n + F.when(F.contains(low, F.lit(w)), F.regexp_count(low, F.lit(rf"{EDGE}{w}{EDGE}"))).otherwise(0)
-    return n
+    def hits(x: Column) -> Column:
+        out = []
+        for lang, ws in L.STOP_WORDS.items():
+            n = of_list(x["runs"], plain[lang])
+            for w in ws:
+                if not w.isascii():
+                    n = n + F.when(F.contains(x["low"], F.lit(w)), _count(x["low"], rf"{EDGE}{w}{EDGE}")).otherwise(0)
+            out.append(n)
+        return F.array(*out)
 
+    def judged(h: Column) -> Column:
+        top = F.array_max(h)
+        name = F.element_at(F.array(*map(F.lit, L.STOP_WORDS)), F.array_position(h, top).cast("int"))
+        confidence = F.least(F.lit(95), F.floor(top / F.greatest(n_words(text), F.lit(1)) * 250 + 0.5)).cast("int")
+        return F.struct(F.when(top > 0, name).alias("language"), F.when(top > 0, confidence).alias("confidence"))
 
-def language(text: Column) -> dict[str, Column]:
-    """Language of the most stop words, the first of equals, and a confidence from their density."""
-    hits = [stop_word_hits(text, lang) for lang in L.STOP_WORDS]
-    top = F.greatest(*hits)
-    name = F.when(top == 0, None)
-    for lang, h in zip(L.STOP_WORDS, hits):
-        name = name.when(h == top, lang)
-    return {"language": name, "confidence": F.when(top > 0, F.least(F.lit(95), F.floor(top / F.greatest(n_words(text), F.lit(1)) * 250 + 0.5)).cast("int"))}
+    every = list(dict.fromkeys(w for ws in plain.values() for w in ws))
+    shared = lambda low: F.struct(low.alias("low"), runs(F.filter(ascii_tokens(low), lambda t: t.isin(*every))).alias("runs"))
+    return let(let(let(F.lower(text), shared), hits), judged)
 
 
 def script(text: Column) -> Column:

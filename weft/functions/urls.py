@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 #: Path suffixes that name a file.
-FILE_EXTENSIONS = "pdf doc docx xls xlsx ppt pptx zip rar tar gz 7z jpg jpeg png gif svg webp mp3 mp4 avi mov wmv exe dmg pkg deb rpm".split()
+FILE_EXTENSIONS = ["pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "rar", "tar", "gz", "7z", "jpg", "jpeg", "png", "gif", "svg", "webp", "mp3", "mp4", "avi", "mov", "wmv", "exe", "dmg", "pkg", "deb", "rpm"]
 
 
 def _group(url: Column, n: int) -> Column:
@@ -147,22 +147,29 @@ def domain_matches(found: Column, wanted: Column) -> Column:
     return (found == wanted) | found.endswith(F.concat(F.lit("."), wanted))
 
 
-def resolve(href: Column, base: Column) -> Column:
-    """Absolute form of a link on a page: absolute, protocol-relative, root-relative, query, or relative to the page's folder."""
+def base_parts(base: Column) -> Column:
+    """What links on a page are resolved against: path, scheme and origin of its base."""
+    return F.struct(path(base).alias("path"), scheme(base).alias("scheme"), origin(base).alias("origin"))
+
+
+def resolve(href: Column, base: Column, parts: Column | None = None) -> Column:
+    """Absolute form of a link on a page: absolute, protocol-relative, root-relative, query, or relative to the page's folder.
+
+    ``parts`` are the page's ``base_parts`` where they are at hand.
+    """
 
     def joined(b: Column) -> Column:
         folder = F.regexp_replace(b["path"], r"[^/]*$", "")
-        relative = F.regexp_replace(F.regexp_replace(F.concat(folder, F.regexp_replace(b["href"], r"^(\./)+", "")), r"/[^/]+/\.\./", "/"), r"/\./", "/")
+        relative = F.regexp_replace(F.regexp_replace(F.concat(folder, F.regexp_replace(href, r"^(\./)+", "")), r"/[^/]+/\.\./", "/"), r"/\./", "/")
         return (
-            F.when(b["href"].rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), b["href"])
-            .when(b["href"].startswith("//"), F.concat(b["scheme"], F.lit(":"), b["href"]))
-            .when(b["href"].startswith("/"), F.concat(b["origin"], b["href"]))
-            .when(b["href"].startswith("?"), F.concat(b["origin"], b["path"], b["href"]))
+            F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+            .when(href.startswith("//"), F.concat(b["scheme"], F.lit(":"), href))
+            .when(href.startswith("/"), F.concat(b["origin"], href))
+            .when(href.startswith("?"), F.concat(b["origin"], b["path"], href))
             .otherwise(F.concat(b["origin"], relative))
         )
 
-    parts = F.struct(href.alias("href"), path(base).alias("path"), scheme(base).alias("scheme"), origin(base).alias("origin"))
-    return F.element_at(F.transform(F.array(parts), joined), 1)
+    return joined(parts) if parts is not None else F.element_at(F.transform(F.array(base_parts(base)), joined), 1)
 
 
 def hash16(url: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .ranks import with_rank
 
 
 def link_edges(links: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return done.select("node", F.col("color").alias("component"))
 
 
-def simple_cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
+def simple_cycles(edges: DataFrame, longest: int = 10) -> DataFrame:
     """All simple cycles of at most ``longest`` edges as arrays that start at their smallest node, with their mean weight."""
     e = edges.select("src", "dst", F.col("weight").cast("double").alias("w"))
     paths = e.where("src < dst").select(F.array("src", "dst").alias("path"), "w")
@@ -120,7 +121,11 @@ def simple_cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
         stepped = paths.join(e.withColumnRenamed("w", "w2"), tip == F.col("src"))
         closed = stepped.where(F.col("dst") == F.element_at("path", 1)).select("path", ((F.col("w") + F.col("w2")) / n).alias("strength"))
         out = closed if out is None else out.unionByName(closed)
+        if n == longest:
+            break
         paths = cut(stepped.where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), (F.col("w") + F.col("w2")).alias("w")))
+        if not paths.take(1):
+            break
     return out
 
 
@@ -132,3 +137,51 @@ def statistics(edges: DataFrame) -> DataFrame:
 
 def to_dot(edges: DataFrame) -> DataFrame:
     return edges.select(F.format_string('"%s" -> "%s" [weight=%d];', F.col("src").cast("string"), F.col("dst").cast("string"), F.col("weight")).alias("line"))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """i, j, weight: the nonzero entries of the adjacency matrix, nodes numbered from 0 in their order."""
+    at = with_rank(nodes(edges), [F.col("node")], "at").select("node", (F.col("at") - 1).alias("at"))
+    ends = at.select(F.col("node").alias("src"), F.col("at").alias("i")), at.select(F.col("node").alias("dst"), F.col("at").alias("j"))
+    return edges.join(ends[0], "src").join(ends[1], "dst").select("i", "j", "weight")
+
+
+def merged(*graphs: DataFrame) -> DataFrame:
+    """src, dst, weight of several graphs as one; weights of equal edges add up."""
+    out = graphs[0].select("src", "dst", "weight")
+    for g in graphs[1:]:
+        out = out.unionByName(g.select("src", "dst", "weight"))
+    return out.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def importance_distribution(ranks: DataFrame, buckets: int = 5) -> DataFrame:
+    """bucket, low, high, n: ranks in equally wide bands from the least to the greatest."""
+    low, high = (ranks.agg(f("rank").alias("x")).scalar() for f in (F.min, F.max))
+    rows = ranks.select("rank", low.alias("lo"), ((high - low) / buckets).alias("width"))
+    own = F.when(F.col("width") > 0, F.least(F.lit(buckets - 1), F.floor((F.col("rank") - F.col("lo")) / F.col("width")))).otherwise(0).cast("int")
+    counted = rows.withColumn("bucket", own).groupBy("bucket", "lo", "width").agg(F.count("*").alias("n"))
+    return counted.select("bucket", (F.col("lo") + F.col("bucket") * F.col("width")).alias("low"), (F.col("lo") + (F.col("bucket") + 1) * F.col("width")).alias("high"), "n")
+
+
+def relationship(edges: DataFrame, a, b, max_depth: int = 10) -> dict:
+    """Paths both ways between two nodes, and whether the link is direct, mutual, indirect or none."""
+    there, back = shortest_path(edges, a, b, max_depth), shortest_path(edges, b, a, max_depth)
+    direct = bool(there and len(there) == 2) or bool(back and len(back) == 2)
+    kind = "none" if there is None and back is None else "mutual" if there and back and len(there) == len(back) == 2 else "direct" if direct else "indirect"
+    return {"forward": there, "backward": back, "kind": kind}
+
+
+def recommendations(edges: DataFrame, pages: DataFrame, few: int = 2, many: int = 100) -> DataFrame:
+    """node, issue: pages without inbound links (orphan), without outbound ones (dead end), with few inbound, or with many outbound ones."""
+    known = pages.select("node").distinct().join(degrees(edges), "node", "left").select("node", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("in_degree", "out_degree")))
+    issue = F.when(F.col("in_degree") == 0, "orphan").when(F.col("out_degree") == 0, "dead end").when(F.col("in_degree") < few, "few inbound links").when(F.col("out_degree") > many, "many outbound links")
+    return known.withColumn("issue", issue).where("issue is not null").select("node", "issue")
+
+
+def to_json(edges: DataFrame) -> DataFrame:
+    """One JSON line for each edge."""
+    return edges.select(F.to_json(F.struct("src", "dst", "weight")).alias("line"))
+
+
+def to_csv(edges: DataFrame) -> DataFrame:
+    return edges.select(F.to_csv(F.struct("src", "dst", "weight")).alias("line"))

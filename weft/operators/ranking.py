@@ -27,43 +27,63 @@ def query_terms(query: str) -> list[str]:
     return [t for t in re.split(r"\s+", re.sub(r"[^a-z0-9_\s]", " ", query.lower())) if len(t) > 1]
 
 
-def occurrences(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == F.lit(term)))
+def figures(content: Column, query: str, norm: bool = False) -> Column:
+    """Struct of what ranking needs of one text: n (tokens), tf (of each distinct term), with ``norm`` that of its counts.
+
+    Without the norm no token is made: the text is scanned for all its tokens and for those of the query.
+    """
+    terms = list(dict.fromkeys(query_terms(query)))
+    if norm:
+        tf = lambda r, t: F.coalesce(F.get(F.filter(r, lambda x: x["term"] == F.lit(t)), F.lit(0))["n"], F.lit(0))
+        count = lambda r: F.struct(F.aggregate(r, F.lit(0), lambda a, x: a + x["n"]).alias("n"), _ints([tf(r, t) for t in terms]).alias("tf"), F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x["n"].cast("double") * x["n"])).alias("norm"))
+        return T.let(T.runs(T.tokens(content)), count)
+    edge = "[a-z0-9_]"
+    found = F.regexp_extract_all(F.lower(content), F.lit(rf"(?<!{edge})(?:{'|'.join(terms)})(?!{edge})"), F.lit(0)) if terms else F.array().cast("array<string>")
+    tf = T.let(found, lambda hits: _ints([_count(hits, t) for t in terms]))
+    return F.struct(F.regexp_count(F.lower(content), F.lit(f"{edge}{{2,}}")).alias("n"), tf.alias("tf"))
+
+
+def _count(items: Column, value: str) -> Column:
+    return F.size(F.filter(items, lambda x: x == F.lit(value)))
+
+
+def _ints(values: list[Column]) -> Column:
+    return F.array(*values) if values else F.array().cast("array<int>")
 
 
-def with_bm25(rows: DataFrame, query: str, tokens: str = "tokens", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def with_bm25(rows: DataFrame, query: str, content: str = "content", figure: str | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Columns bm25_raw and bm25 (held to 0..1): the mean over the query's terms of idf times saturated frequency.
 
     The idf has no added one, so a term in more than half of the rows counts against a row.  Corpus figures are one
-    aggregation, no token leaves its row, and the row of figures joins back as literals.
+    aggregation over the ``figures`` of each row, and no token leaves its row.
     """
     terms = query_terms(query)
     if not terms:
         return rows.withColumns({"bm25_raw": F.lit(0.0), "bm25": F.lit(0.0)})
-    distinct = list(dict.fromkeys(terms))
-    tok = F.col(tokens)
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size(tok)).alias("avg"), *(F.sum(F.array_contains(tok, t).cast("long")).alias(f"df{i}") for i, t in enumerate(distinct))).first()
-    n, avg = stats["n"], stats["avg"] or 1.0
-    raw = F.lit(0.0)
+    distinct, own = list(dict.fromkeys(terms)), figure or "__figures"
+    if figure is None:
+        rows = rows.withColumn(own, figures(F.col(content), query))
+    n, tf = F.col(own)["n"], F.col(own)["tf"]
+    stats = rows.select(n.alias("n"), tf.alias("tf")).agg(F.count("*").alias("rows"), F.avg("n").alias("avg"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(distinct)))).first()
+    avg, raw = stats["avg"] or 1.0, F.lit(0.0)
     for t in terms:
-        df = stats[f"df{distinct.index(t)}"] or 0
-        tf = occurrences(tok, t)
-        idf = F.log((F.lit(float(n)) - df + 0.5) / (F.lit(float(df)) + 0.5))
-        raw = raw + F.when(tf > 0, idf * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * (F.size(tok) / F.lit(float(avg))))))).otherwise(0.0)
-    raw = raw / len(terms)
-    return rows.withColumns({"bm25_raw": raw, "bm25": F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))})
+        i = distinct.index(t)
+        df = stats[f"df{i}"] or 0
+        idf = F.log((F.lit(float(stats["rows"])) - df + 0.5) / (F.lit(float(df)) + 0.5))
+        raw = raw + F.when(tf[i] > 0, idf * (tf[i] * (k1 + 1) / (tf[i] + k1 * (1 - b + b * (n / F.lit(float(avg))))))).otherwise(0.0)
+    rows = rows.withColumn("bm25_raw", raw / len(terms)).withColumn("bm25", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bm25_raw"))))
+    return rows if figure else rows.drop(own)
 
 
-def semantic(tokens: Column, content: Column, query: str) -> Column:
+def semantic(figure: Column, content: Column, query: str) -> Column:
     """Cosine of term counts, 0.2 more where the query stands in the text, one at most."""
     terms = query_terms(query)
     count = {t: terms.count(t) for t in dict.fromkeys(terms)}
     norm_q = sum(c * c for c in count.values()) ** 0.5
     dot = F.lit(0.0)
-    for t, c in count.items():
-        dot = dot + c * occurrences(tokens, t)
-    runs = T.let(F.sort_array(tokens), lambda s: F.aggregate(F.transform(s, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum")), lambda a, e: F.struct(e["x"].alias("last"), F.when(a["last"] == e["x"], a["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"), (a["sum"] + F.when(a["last"] == e["x"], 2 * a["run"] + 1).otherwise(1)).cast("long").alias("sum")), lambda a: F.sqrt(a["sum"])))
-    cosine = F.when((runs > 0) & F.lit(norm_q > 0), dot / (runs * F.lit(norm_q or 1.0))).otherwise(0.0)
+    for i, c in enumerate(count.values()):
+        dot = dot + c * figure["tf"][i]
+    cosine = F.when((figure["norm"] > 0) & F.lit(norm_q > 0), dot / (figure["norm"] * F.lit(norm_q or 1.0))).otherwise(0.0)
     return F.least(F.lit(1.0), cosine + F.when(F.contains(content, F.lit(query.lower())), 0.2).otherwise(0.0))
 
 
@@ -99,8 +119,8 @@ def rank_results(rows: DataFrame, query: str, order: str = "doc_id", weights: di
     """Scores and rank of rows (title, snippet, link); equals keep the order of ``order``."""
     w = {**WEIGHTS, **(weights or {})}
     content = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))))
-    rows = with_bm25(rows.withColumn("tokens", T.tokens(content)), query)
+    rows = with_bm25(rows.withColumn("__f", figures(content, query, norm=True)), query, figure="__f")
     fresh = freshness(published, as_of) if published is not None else F.lit(0.5)
-    rows = rows.withColumns({"semantic": semantic(F.col("tokens"), content, query), "authority": authority(F.col("link")), "freshness": fresh})
-    rows = rows.withColumn("final", sum((F.col(k) * v for k, v in w.items()), F.lit(0.0))).drop("tokens")
+    rows = rows.withColumns({"semantic": semantic(F.col("__f"), content, query), "authority": authority(F.col("link")), "freshness": fresh}).drop("__f")
+    rows = rows.withColumn("final", sum((F.col(k) * v for k, v in w.items()), F.lit(0.0)))
     return with_rank(rows.withColumn("__s", F.round("final", 9)), [F.col("__s").desc(), F.col(order)]).drop("__s")

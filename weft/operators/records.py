@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import with_running
+
 #: Statuses and messages that are worth another try.
 RETRY_STATUS = [408, 429, 500, 502, 503, 504]
 RETRY_CODES = ["ECONNRESET", "ECONNREFUSED", "ETIMEDOUT", "ENOTFOUND", "EAI_AGAIN"]
@@ -49,16 +51,13 @@ def delete_snapshots(snapshots: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def retained(snapshots: DataFrame, now_ms: int, most: int = 100, days: float = 30, bytes_: int = 1 << 30) -> DataFrame:
-    """The newest ``most`` of each url that are young enough, and of those the newest that fit the size by day.
+    """The newest ``most`` of each url that are young enough, and of those the newest that together fit the size.
 
-    The size cap is a running sum over daily totals, so no task sorts all snapshots; the day that crosses the cap goes whole.
+    The size is a running sum over ranges of time, so no task sorts all snapshots.
     """
     mine = W.partitionBy("url").orderBy(F.col("timestamp").desc(), "id")
     kept = snapshots.withColumn("nth", F.row_number().over(mine)).where((F.col("nth") <= most) & (F.col("timestamp") >= now_ms - days * 86_400_000)).drop("nth")
-    day = F.floor(F.col("timestamp") / 86_400_000)
-    totals = kept.groupBy(day.alias("day")).agg(F.sum("content_length").alias("bytes"))
-    held = totals.withColumn("held", F.sum("bytes").over(W.orderBy(F.col("day").desc()))).where(F.col("held") <= bytes_).select("day")
-    return kept.join(held, day == F.col("day"), "left_semi")
+    return with_running(kept, [F.col("timestamp").desc(), F.col("id")], "content_length", "__held").where(F.col("__held") <= bytes_).drop("__held")
 
 
 def backoff(attempt: Column, strategy: str = "exponential", base_ms: float = 1000, most_ms: float = 30_000) -> Column:

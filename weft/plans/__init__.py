@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import corpus, history, links, research, search, site, streams, trees
+from . import corpus, history, links, research, rules, search, site, streams, trees
 
 
 def registry() -> dict[str, tuple]:
     out: dict[str, tuple] = {}
-    for module in (corpus, search, site, links, history, research, trees, streams):
+    for module in (corpus, search, site, links, history, research, rules, trees, streams):
         out |= module.Q
     return out

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import similarity as S
 from ..functions import text as T
+from ..operators.fingerprints import with_simhash
+from ..operators.summary import summarise
 from ..operators.vectors import nearest
-from ..sources.tables import table
+from ..sources.tables import OVERLAP_SQL, benchmark_overlap, spread, table
 
 
 
@@ -22,13 +24,18 @@ Q: dict[str, tuple] = {}
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _select(cols):
     return lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in cols().items()))
 
 
+def _fields(of):
+    """The fields of one struct for each row: what they share is computed once."""
+    return lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", of(X()).alias("x")).select("doc_id", "x.*")
+
+
 WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 SENTENCES = r"list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
 SIMPLE = r"len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: regexp_matches(s, '\S')))"
@@ -41,9 +48,8 @@ Q["text_statistics"] = (
 
 
 def _readability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = T.flesch_by_syllables(X())
-    rows = docs(spark, sf_dir).select("doc_id", a.alias("raw"), T.flesch_by_letters(X()).alias("letters"), T.flesch_by_length(X()).alias("by_length"), T.flesch_raw_length(X()).alias("raw_length"), T.research_readability(X()).alias("research"))
-    return rows.select("doc_id", T.round_half_up(T.clamp(F.col("raw"))).alias("score"), T.readability_level(F.col("raw")).alias("level"), *(T.round_half_up(F.col(c), 4).alias(c) for c in ("letters", "by_length", "raw_length")), "research")
+    rows = docs(spark, sf_dir).select("doc_id", T.readability(X()).alias("x"), T.research_readability(X()).alias("research"))
+    return rows.select("doc_id", T.round_half_up(T.clamp(F.col("x.syllables"))).alias("score"), T.readability_level(F.col("x.syllables")).alias("level"), *(T.round_half_up(F.col(f"x.{c}"), 4).alias(c) for c in ("letters", "by_length", "raw_length")), "research")
 
 
 _GROUPS = "len(regexp_extract_all(%s, '[aeiouy]+'))"
@@ -69,7 +75,7 @@ _BP_L = " + ".join(f"{len(p)} * len(regexp_extract_all(lower(text), '{p}'))" for
 _BP = rf"least(1.0::double, 10 * (({_BP_N}) / greatest(len(string_split_regex(text, '\s+')), 1)) + 5 * (({_BP_L}) / greatest(length(text), 1)))"
 Q["boilerplate_score"] = (_select(lambda: dict(score=F.round(T.boilerplate(X()), 6))),  f"select doc_id, round({_BP}, 6) as score from documents")
 Q["content_quality"] = (
-    _select(lambda: T.quality(X())),
+    _fields(T.quality),
     rf"""with w as (select doc_id, text, {WORDS} as ws, {SIMPLE} as nm, {_BP} as bp from documents),
 c as (select *, len(ws) as n, len(ws) / greatest(nm, 1) as per, greatest(0, least(100, 206.835::double - 1.015::double * (len(ws) / greatest(nm, 1)) - 84.6::double *
   (coalesce(list_sum(list_transform(ws, lambda w: greatest(1, {_GROUPS % "regexp_replace(regexp_replace(lower(w), '[^a-z]', '', 'g'), 'e$', '')"}))), 0) / greatest(len(ws), 1)))) as ease from w),
@@ -86,7 +92,7 @@ def _in(words: list[str]) -> str:
 
 
 Q["sentiment"] = (
-    _select(lambda: T.sentiment(X())),
+    _fields(T.sentiment),
     rf"""with t as (select doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda w: w <> '') as w from documents),
 c as (select doc_id, greatest(len(w), 1) as n, len(list_filter(w, lambda x: x in ({_in(L.POSITIVE)}))) as p, len(list_filter(w, lambda x: x in ({_in(L.NEGATIVE)}))) as m from t)
 select doc_id, floor((p - m) / n * 100 + 0.5) / 100 as polarity, floor((p + m) / n * 100 + 0.5) / 100 as subjectivity,
@@ -102,14 +108,14 @@ k as (select *, row_number() over (partition by doc_id order by v desc, i) as nt
 select doc_id, coalesce(emotions, '') as emotions from documents left join (select doc_id, string_agg(name || ':' || printf('%.2f', v), ',' order by nth) as emotions from k where nth <= 5 group by doc_id) using (doc_id)""",
 )
 Q["vocabulary"] = (
-    _select(lambda: T.vocabulary(X())),
+    _fields(T.vocabulary),
     r"""with w as (select doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: length(x) > 2) as w from documents),
 c as (select doc_id, w, count(*) as u, sum(n) as t, count(*) filter (where n = 1) as h from (select doc_id, x, count(*) as n from (select doc_id, unnest(w) as x from w) group by all) join w using (doc_id) group by doc_id, w)
 select doc_id, coalesce(u, 0)::int as unique_words, floor(coalesce(u, 0) / greatest(coalesce(t, 0), 1) * 100 + 0.5) / 100 as richness, floor(coalesce(h, 0) / greatest(coalesce(u, 0), 1) * 100 + 0.5) / 100 as diversity from documents left join c using (doc_id)""",
 )
 _LANG = ", ".join(rf"len(regexp_extract_all(text, '(?i)\b(?:{'|'.join(dict.fromkeys(ws))})\b')) as {lang}" for lang, ws in L.STOP_WORDS.items())
 Q["language_id"] = (
-    _select(lambda: T.language(X())),
+    _fields(T.language),
     f"""with h as (select doc_id, len({WORDS}) as n, {_LANG} from documents), t as (select *, greatest({', '.join(L.STOP_WORDS)}) as top from h)
 select doc_id, case when top = 0 then null {' '.join(f"when {x} = top then '{x}'" for x in L.STOP_WORDS)} end as language, case when top > 0 then least(95, floor(top / greatest(n, 1) * 250 + 0.5))::int end as confidence from t""",
 )
@@ -130,12 +136,20 @@ Q["document_hashes"] = (
 )
 
 
+def keywords(text: Column, most: int = 10) -> Column:
+    """The most frequent tokens with frequency over all (relevance) and over the most frequent (salience), best first."""
+
+    def best(found: Column) -> Column:
+        total, first = F.aggregate(found, F.lit(0), lambda a, r: a + r["n"]), F.array_max(found["n"])
+        order = F.slice(F.array_sort(F.transform(found, lambda r: F.struct((-r["n"]).alias("s"), r["term"].alias("term")))), 1, most)
+        return F.transform(order, lambda r: F.struct(r["term"].alias("term"), (-r["s"]).cast("long").alias("n"), F.round(-r["s"] / total, 6).alias("relevance"), F.round(-r["s"] / first, 6).alias("salience")))
+
+    return T.let(T.runs(T.tokens(text, 3)), best)
+
+
 def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten most frequent tokens of each document, with frequency over all and over the most frequent."""
-    t = docs(spark, sf_dir).select("doc_id", F.explode(T.tokens(X(), 3)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    w = W.partitionBy("doc_id")
-    t = t.withColumns({"relevance": F.round(F.col("n") / F.sum("n").over(w), 6), "salience": F.round(F.col("n") / F.max("n").over(w), 6), "rank": F.row_number().over(w.orderBy(F.col("n").desc(), "term"))})
-    return t.where("rank <= 10").select("doc_id", "rank", "term", "n", "relevance", "salience")
+    rows = docs(spark, sf_dir).select("doc_id", keywords(X()).alias("k"))
+    return rows.select("doc_id", F.posexplode("k").alias("p", "k")).select("doc_id", (F.col("p") + 1).alias("rank"), "k.*")
 
 
 Q["keywords"] = (
@@ -147,19 +161,7 @@ select * from (select doc_id, row_number() over (partition by doc_id order by n
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extractive summary: the best tenth of the sentences, by mean term salience and position, in text order."""
-    s = docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(X())).alias("pos", "s"))
-    total = W.partitionBy("doc_id")
-    s = s.withColumn("n", F.count("*").over(total))
-    terms = s.select("doc_id", "pos", F.explode(F.filter(T.words(F.regexp_replace(F.lower("s"), r"[^a-z0-9\s]", "")), lambda w: (F.length(w) > 2) & ~w.isin(*L.STOP_WORDS["en"]))).alias("w"))
-    freq = terms.groupBy("doc_id", "w").agg(F.count("*").alias("f")).withColumn("f", F.col("f") / F.max("f").over(W.partitionBy("doc_id")))
-    score = terms.join(freq, ["doc_id", "w"]).groupBy("doc_id", "pos").agg(F.sum("f").alias("sum"), F.count("*").alias("k"))
-    s = s.join(score, ["doc_id", "pos"], "left")
-    word = F.coalesce(F.col("sum") / F.col("k") * F.when(F.col("k") < 5, 0.5).otherwise(1.0), F.lit(0.0))
-    place = F.when(F.col("pos") == 0, 0.4).when(F.col("pos") == 1, 0.15).when(F.col("pos") == 2, 0.08).when(F.col("pos") == F.col("n") - 1, 0.05).otherwise(0.0)
-    s = s.withColumn("score", F.round(word + place, 9)).withColumn("rank", F.row_number().over(total.orderBy(F.col("score").desc(), "pos")))
-    s = s.where((F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1))) | (F.col("n") < 3))
-    out = s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ").alias("summary"))
-    return out.select("doc_id", "n_sentences", F.md5("summary").alias("summary_md5"))
+    return summarise(docs(spark, sf_dir)).where("n_sentences > 0").select("doc_id", "n_sentences", F.md5("summary").alias("summary_md5"))
 
 
 Q["extractive_summary"] = (
@@ -175,11 +177,15 @@ select doc_id, count(*) as n_sentences, md5(string_agg(s, ' ' order by pos)) as
 )
 
 
+def _best(scored: Column, most: int = 5) -> Column:
+    """The highest of an array of (score, pos), earlier ones first of equals."""
+    return F.slice(F.array_sort(F.transform(scored, lambda x: F.struct((-x["score"]).alias("s"), x["pos"].alias("pos")))), 1, most)
+
+
 def _top_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(X())).alias("pos", "s")).withColumn("s", F.trim("s")).where(F.length("s").between(40, 500))
-    s = s.withColumn("score", F.length("s") * 0.5 + F.regexp_count("s", F.lit("[A-Z][a-z]+")) * 5)
-    s = s.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("score").desc(), "pos"))).where("rank <= 5")
-    return s.select("doc_id", "rank", "pos", F.col("score").cast("double").alias("score"))
+    scored = F.transform(T.sentences(X()), lambda s, i: T.let(F.trim(s), lambda t: F.when(F.length(t).between(40, 500), F.struct((F.length(t) * 0.5 + F.regexp_count(t, F.lit("[A-Z][a-z]+")) * 5).cast("double").alias("score"), i.alias("pos")))))
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(_best(F.filter(scored, lambda x: x.isNotNull()))).alias("rank", "x"))
+    return rows.select("doc_id", (F.col("rank") + 1).alias("rank"), "x.pos", (-F.col("x.s")).alias("score"))
 
 
 Q["top_sentences"] = (
@@ -190,14 +196,23 @@ select * from (select doc_id, row_number() over (partition by doc_id order by sc
 )
 
 
+def key_point_scores(sentences: Column) -> Column:
+    """Score of each sentence by length, place, digits and cue words: (score, pos) of those over 1."""
+
+    def score(s: Column, i: Column, n: Column) -> Column:
+        w = T.n_spaced(F.lower(s))
+        return (
+            T.let(w, lambda w: F.when(w.between(10, 25), 2.0).when(w.between(6, 30), 1.0).otherwise(0.0)) + F.when((i < n * 0.2) | (i > n * 0.8), 1.0).otherwise(0.0)
+            + F.when(s.rlike("[0-9]"), 0.5).otherwise(0.0) + F.when(s.rlike(rf"(?i){T.EDGE}(important|significant|key|main|primary|essential|critical){T.EDGE}"), 1.0).otherwise(0.0)
+        )
+
+    scored = T.let(sentences, lambda a: F.transform(a, lambda s, i: F.struct(score(s, i, F.size(a)).alias("score"), i.alias("pos"))))
+    return F.filter(scored, lambda x: x["score"] > 1)
+
+
 def _key_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences over a score of 1 by length, place, digits and cue words; five a document, in text order."""
-    s = docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(X())).alias("pos", "s"), F.size(T.sentences(X())).alias("n"))
-    w = F.size(F.split(F.lower("s"), r"\s+"))
-    score = F.when(w.between(10, 25), 2.0).when(w.between(6, 30), 1.0).otherwise(0.0) + F.when((F.col("pos") < F.col("n") * 0.2) | (F.col("pos") > F.col("n") * 0.8), 1.0).otherwise(0.0)
-    score = score + F.when(F.col("s").rlike(r"[0-9]"), 0.5).otherwise(0.0) + F.when(F.col("s").rlike(rf"(?i){T.EDGE}(important|significant|key|main|primary|essential|critical){T.EDGE}"), 1.0).otherwise(0.0)
-    s = s.withColumn("score", score).where("score > 1").withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("score").desc(), "pos"))).where("rank <= 5")
-    return s.select("doc_id", "pos", "score")
+    """Five best key points of a document."""
+    return docs(spark, sf_dir).select("doc_id", F.explode(_best(key_point_scores(T.sentences(X())))).alias("x")).select("doc_id", "x.pos", (-F.col("x.s")).alias("score"))
 
 
 Q["key_points"] = (
@@ -219,21 +234,15 @@ Q["exact_duplicates"] = (_exact, "select doc_id, min(doc_id) over (partition by
 
 
 def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs(spark, sf_dir).select("doc_id", S.simhash64(F.lower(F.substring(X(), 1, 200))).alias("simhash"))
-    return rows
+    """SimHash of each whole text."""
+    return with_simhash(docs(spark, sf_dir), F.lower(X()))
 
 
 Q["simhash_snippets"] = (_simhash, None)
 
 
-def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share eight-token runs with benchmark items, by the number of shared runs (an extension)."""
-    grams = lambda df, key: df.select(key, T.tokens(X(), 0).alias("t")).select(key, F.explode(F.array_distinct(F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size("t") - 8, F.lit(0))), lambda i: F.size("t") >= 8), lambda i: F.md5(F.array_join(F.slice("t", i + 1, 8), " "))))).alias("g"))
-    return grams(docs(spark, sf_dir), "doc_id").join(grams(table(spark, sf_dir, "benchmark"), "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-
-
-_GRAMS = r"""select {k}, g from (select {k}, list_distinct(list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i + 7], ' '))) as l from (select {k}, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda w: w <> '') as t from {f})), unnest(l) u(g)"""
-Q["benchmark_overlap"] = (_benchmark, f"select doc_id, item_id, count(*) as shared from ({_GRAMS.format(k='doc_id', f='documents')}) join ({_GRAMS.format(k='item_id', f='benchmark')}) using (g) group by all")
+#: Documents that share eight-token runs with benchmark items, by the number of shared runs (an extension).
+Q["benchmark_overlap"] = (benchmark_overlap, OVERLAP_SQL)
 
 
 def _embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,8 @@ union all select null, user_id, ms, event_id, 'snapshot', true from v where even
 
 def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Values at floor(n * p) of each group in order, found by rank over ranges, so no task holds a group."""
-    ranked = with_rank(rows.select(key, value), [F.col(key), F.col(value)], "r")
+    tie = F.monotonically_increasing_id()  # parts equal values; which of them comes first does not show
+    ranked = with_rank(rows.select(key, value, tie.alias("__tie")), [F.col(key), F.col(value), F.col("__tie")], "r")
     groups = ranked.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), F.min("r").alias("first"))
     placed = ranked.join(groups, F.col(key) == F.col("k")).withColumn("r", F.col("r") - F.col("first"))
     return placed.groupBy(key).agg(*(F.max(F.when(F.col("r") == F.floor(F.col("n") * p), F.col(value))).alias(f"p{int(round(p * 100))}") for p in (0.5, 0.75, 0.9, 0.95, 0.99)))
@@ -121,8 +122,8 @@ Q["session_windows"] = (
     """select min(epoch_us(ts)) as start_us, user_id, count(*) as n from (select *, sum(new) over (partition by user_id order by ts, event_id) as sess from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 6 hours then 0 else 1 end as new from events)) group by user_id, sess""",
 )
 Q["event_properties"] = (
-    lambda s, d: table(s, d, "events").select("event_type", F.variant_get(F.try_parse_json("props"), "$.k", "long").alias("k")).groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.approx_count_distinct(F.lit(1)).alias("one")),
-    "select event_type, count(k) as n, sum(k)::bigint as total, 1::bigint as one from (select event_type, json_extract(props, '$.k')::bigint as k from events) group by event_type",
+    lambda s, d: table(s, d, "events").select("event_type", F.variant_get(F.try_parse_json("props"), "$.k", "long").alias("k")).groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total")),
+    "select event_type, count(k) as n, sum(k)::bigint as total from (select event_type, json_extract(props, '$.k')::bigint as k from events) group by event_type",
 )
 Q["job_status"] = (
     lambda s, d: events(s, d).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count_if(F.col("event_type") == "error").alias("failures")),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -14,7 +13,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import ranking as R
 from ..operators.llms_txt import llms_txt
-from ..sources.tables import links, table, versions
+from ..sources.tables import links, spread, table, versions
 
 Q: dict[str, tuple] = {}
 
@@ -26,7 +25,7 @@ o as (select *, scheme || '://' || host || case when port <> '' then ':' || port
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def _url() -> Column:
@@ -66,11 +65,12 @@ Q["site_statistics"] = (_site_statistics, f"""with {PARTS} select count(*) as n_
 
 
 def _group_by_path(s: SparkSession, d: str) -> DataFrame:
+    """URLs by first path segment: their number, the first and the last, and a checksum that no order changes."""
     p = pages(s, d).select(F.coalesce(F.concat(F.lit("/"), F.get(U.segments(_url()), F.lit(0))), F.lit("/")).alias("section"), "url")
-    return p.groupBy("section").agg(F.count("*").alias("n"), F.min("url").alias("first_url"), F.md5(F.array_join(F.array_sort(F.collect_list("url")), " ")).alias("urls_md5"))
+    return p.groupBy("section").agg(F.count("*").alias("n"), F.min("url").alias("first_url"), F.max("url").alias("last_url"), F.sum(F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("long")).alias("checksum"))
 
 
-Q["group_by_path"] = (_group_by_path, f"""with {PARTS} select case when len(segs) > 0 then '/' || segs[1] else '/' end as section, count(*) as n, min(url) as first_url, md5(string_agg(url, ' ' order by url)) as urls_md5 from o group by 1""")
+Q["group_by_path"] = (_group_by_path, f"""with {PARTS} select case when len(segs) > 0 then '/' || segs[1] else '/' end as section, count(*) as n, min(url) as first_url, max(url) as last_url, sum(('0x' || substr(md5(url), 1, 8))::bigint)::bigint as checksum from o group by 1""")
 Q["site_map_rollup"] = (
     lambda s, d: pages(s, d).select(F.coalesce(F.get(U.segments(_url()), F.lit(0)), F.lit("/")).alias("section"), F.coalesce(F.get(U.segments(_url()), F.lit(1)), F.lit("-")).alias("subsection")).rollup("section", "subsection").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level")),
     f"""with {PARTS}, x as (select coalesce(segs[1], '/') as section, coalesce(segs[2], '-') as subsection from o) select section, subsection, count(*) as n, grouping(section, subsection)::int as level from x group by rollup (section, subsection)""",
@@ -93,10 +93,13 @@ Q["section_categories"] = (
 RULES = {"blacklist": ["site3.example.com"], "exclude": [r"page=2"], "whitelist": ["example.com"], "include": [r"/blog/"]}
 
 
-def domain_decision(url: Column, rules: dict[str, list[str]]) -> dict[str, Column]:
-    """Ordered decision: blacklist, exclude patterns, whitelist, include patterns, default; with its reason and confidence."""
+def domain_decision(url: Column, rules: dict[str, list]) -> dict[str, Column]:
+    """Ordered decision: blacklist, exclude patterns, whitelist, include patterns, default; with its reason and confidence.
+
+    Names of domains are strings or columns.
+    """
     host = U.host(url)
-    within = lambda names: F.greatest(*(U.domain_matches(host, F.lit(n)) for n in names), F.lit(False))
+    within = lambda names: F.greatest(*(U.domain_matches(host, n if isinstance(n, Column) else F.lit(n)) for n in names), F.lit(False))
     fits = lambda patterns: F.greatest(*(url.rlike(f"(?i){p}") for p in patterns), F.lit(False))
     exact = F.greatest(*(host == n for n in rules["blacklist"]), F.lit(False))
     limited = bool(rules["whitelist"] or rules["include"])
@@ -107,8 +110,7 @@ def domain_decision(url: Column, rules: dict[str, list[str]]) -> dict[str, Colum
 
 def _decisions(s: SparkSession, d: str) -> DataFrame:
     rows = pages(s, d)
-    host = rows.select(U.host(_url()).alias("h")).agg(F.min("h")).first()[0]
-    rules = {**RULES, "blacklist": [host]}
+    rules = {**RULES, "blacklist": [rows.select(U.host(_url()).alias("h")).agg(F.min("h").alias("h")).scalar()]}
     return rows.select(*(c.alias(n) for n, c in domain_decision(_url(), rules).items())).groupBy("allowed", "reason", "confidence").agg(F.count("*").alias("n"))
 
 
@@ -226,13 +228,25 @@ Q["element_counts"] = (
     rf"with l as (select page_id, {_LIVE} as live from pages) select page_id, " + ", ".join(rf"len(regexp_extract_all(live, '(?i)<{n}\b'))::int as n_{n}" for n in ("p", "a", "img", "h1", "h2", "li", "table", "form")) + " from l",
 )
 Q["unique_titles"] = (
-    lambda s, d: pages(s, d).select("page_id", H.title(_html()).alias("title")).withColumn("n", F.count("*").over(W.partitionBy("title"))).where("n = 1").select("page_id", "title"),
+    lambda s, d: pages(s, d).select("page_id", H.title(_html()).alias("title")).groupBy("title").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).where("n = 1").select("page_id", "title"),
     rf"""with l as (select page_id, {_LIVE} as live from pages), t as (select page_id, {_plain(r"regexp_extract(live, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)")} as title from l) select page_id, title from (select *, count(*) over (partition by title) as n from t) where n = 1""",
 )
-Q["suspicious_urls"] = (lambda s, d: pages(s, d).select("page_id", F.array_join(H.suspicious(_url()), ",").alias("flags")), "select page_id, '' as flags from pages")
+Q["suspicious_urls"] = (
+    lambda s, d: pages(s, d).select("page_id", F.array_join(H.suspicious(_url()), ",").alias("url_flags"), F.array_join(H.suspicious(_html()), ",").alias("html_flags")),
+    "select page_id, " + ", ".join("array_to_string(list_filter([" + ", ".join(f"case when regexp_matches({c}, '{p}') then '{n}' end" for n, p in H.SUSPICIOUS.items()) + f"], lambda x: x is not null), ',') as {c}_flags" for c in ("url", "html")) + " from pages",
+)
+
+
+def _batch_fetch(s: SparkSession, d: str) -> DataFrame:
+    """A request for every page and as many for pages that are not there: each gets a row, found or not."""
+    known = pages(s, d)
+    asked = known.select(F.explode(F.array(F.col("page_id"), -1 - F.col("page_id"))).alias("page_id"))
+    return asked.join(known, "page_id", "left").select("page_id", F.col("url").isNotNull().alias("success"), F.when(F.col("url").isNull(), "not found").alias("error"), F.octet_length("html").alias("bytes"))
+
+
 Q["batch_fetch"] = (
-    lambda s, d: s.range(0, 400).select(F.col("id").alias("page_id")).join(pages(s, d), "page_id", "left").select("page_id", F.col("url").isNotNull().alias("success"), F.when(F.col("url").isNull(), "not found").alias("error"), F.octet_length("html").alias("bytes")),
-    "select r.page_id, url is not null as success, case when url is null then 'not found' end as error, octet_length(encode(html))::int as bytes from (select unnest(range(400)) as page_id) r left join pages using (page_id)",
+    _batch_fetch,
+    "select r.page_id, url is not null as success, case when url is null then 'not found' end as error, octet_length(encode(html))::int as bytes from (select unnest([page_id, -1 - page_id]) as page_id from pages) r left join pages using (page_id)",
 )
 Q["llms_txt"] = (lambda s, d: llms_txt(pages(s, d)), None)
 Q["countries"] = (

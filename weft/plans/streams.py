@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import shared_folder
 from ..streaming import events as E
 
 Q: dict[str, tuple] = {}
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="weft-")
-
-
 def _run(make):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         # a file source takes a folder or a pattern; the table may be one file
-        return E.run_available(make(E.read_events(spark, f"{sf_dir}/event[s].parquet")), _folder(spark))
+        return E.run_available(make(E.read_events(spark, f"{sf_dir}/event[s].parquet")), shared_folder(spark))
 
     return query
 

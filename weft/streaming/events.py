@@ -83,7 +83,7 @@ def breaker(failures: int = 5, share: float = 0.5, least: int = 10, window_ms: f
                 run, calls = 0, []
         elif run >= failures or len(calls) >= least and sum(f for _, f in calls) / len(calls) >= share:
             mode, since = "open", ms
-        return {"mode": mode, "since": since, "run": run, "calls": calls[-1000:], "good": good}, [{"detail": mode}]
+        return {"mode": mode, "since": since, "run": run, "calls": calls, "good": good}, [{"detail": mode}]
 
     return step
 
@@ -99,19 +99,29 @@ def alert_buffer(every_ms: float = 300_000) -> Step:
     return step
 
 
-def stateful(events: DataFrame, step: Step, key: str, failed: str = "false") -> DataFrame:
-    """Outputs (key, event_id, detail) of a state machine by key, rows of a micro-batch in order of time and id."""
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col("event_id"), (F.unix_micros("ts") / 1000).alias("ms"), F.expr(failed).alias("failed"))
+def stateful(events: DataFrame, step: Step, key: str, failed: str = "false", late: str = "10 minutes", idle_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Outputs (key, event_id, detail) of a state machine by key, rows of a micro-batch in order of time and id.
+
+    A key's rows of one micro-batch are sorted in memory; ``maxFilesPerTrigger`` bounds a micro-batch.  The state of a
+    key goes once the watermark is ``idle_ms`` past its last row.
+    """
+    rows = events.withWatermark("ts", late).select("ts", F.col(key).cast("string").alias("key"), F.col("event_id"), (F.unix_micros("ts") / 1000).alias("ms"), F.expr(failed).alias("failed"))
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, out = json.loads(held.get[0]) if held.exists else {}, []
-        for row in pd.concat(list(frames)).sort_values(["ms", "event_id"]).to_dict("records"):
-            state, made = step(state, row["ms"], row)
-            out += [(k[0], row["event_id"], m["detail"]) for m in made]
-        held.update((json.dumps(state),))
+        out: list[tuple] = []
+        if held.hasTimedOut:
+            held.remove()
+        else:
+            state = json.loads(held.get[0]) if held.exists else {}
+            batch = pd.concat([f[["ms", "event_id", "failed"]] for f in frames]).sort_values(["ms", "event_id"])
+            for ms, event_id, bad in batch.itertuples(index=False, name=None):
+                state, made = step(state, ms, {"failed": bad})
+                out += [(k[0], event_id, m["detail"]) for m in made]
+            held.update((json.dumps(state),))
+            held.setTimeoutTimestamp(max(int(batch["ms"].iloc[-1]), held.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=["key", "event_id", "detail"])
 
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, event_id long, detail string", "state string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, event_id long, detail string", "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
