@@ -167,7 +167,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, size: int, least: tuple[int, i
 
 
 #: Rounds of candidates; a round that finds no new pair is the last.
-ROUNDS = 4
+ROUNDS = 3
 
 
 def join_components(docs: DataFrame, text: str, rows: DataFrame, stars: DataFrame, components: Callable, fingerprints: Callable, size: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
