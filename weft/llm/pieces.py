@@ -239,8 +239,13 @@ class Model:
             for part in range(0, len(own), 20_000):
                 some = own[part : part + 20_000]
                 grid = cps[starts[some][:, None] + np.arange(n)]
-                for i, ids in zip(some.tolist(), self.viterbi(grid) if self.unigram else self.merged(grid)):
-                    out[i] = self.spelled(ids)
+                got = self.viterbi(grid) if self.unigram else self.merged(grid)
+                ends = np.cumsum([len(x) for x in got])
+                starts_ = np.concatenate([[0], ends[:-1]])
+                flat = np.concatenate(got)
+                odd, small = np.add.reduceat(flat < 0, starts_) > 0, flat.astype(np.int32)
+                for i, ids, a, b, unknown in zip(some.tolist(), got, starts_.tolist(), ends.tolist(), odd.tolist()):
+                    out[i] = self.spelled(ids) if unknown else small[a:b]
         return out
 
     def parts(self, body: str, most: int) -> list[str]:
@@ -345,14 +350,14 @@ def encode_texts(docs: DataFrame, model_file: str | None = None, doc_id: str = "
     * A null or empty text has no pieces and round_trip is true for the empty one, null for null.  A text that
       holds U+2581 decodes with spaces in its place, so its round_trip is false.
     * Repeated rows and a null doc_id stay as they are.  No rows give an empty result.  Other columns are not read.
-    * Row by row: no shuffle, one piece of about 256 KB of text (or one longer text) in memory.
+    * Row by row: no shuffle, one piece of about 1 MB of text (or a part of a longer one) in memory.
     """
     data = docs.sparkSession.sparkContext.broadcast(vocab.read(model_file, "piece_bpe_32k.model"))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(data.value)
-        for piece in slices(batches, "t", 1 << 18):
+        for piece in slices(batches, "t"):
             texts = piece.column("t").to_pylist()
             ids, count = m.encode(texts)
             raw, at = m.decode(ids, count)
