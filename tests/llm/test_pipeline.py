@@ -41,3 +41,20 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
+
+
+def test_run_over_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_with_clashing_columns_nulls_and_a_long_text(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400_000))
+    prose = " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(1, long, "en", "a", len(long), 1, 2, "x", True), (2, prose, None, None, None, None, None, None, None), (2, prose, None, None, None, None, None, None, None), (None, prose + " more words here", "en", "a", 1, 1, 1, "y", False), (3, None, None, "a", None, 0, 0, "z", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, h long, fp long, entities string, kept boolean").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and all(r.round_trip for r in got) and {r.doc_id for r in got} <= {1, 2, None} and 1 in {r.doc_id for r in got}
