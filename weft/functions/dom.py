@@ -8,11 +8,12 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from html import escape
 from html.parser import HTMLParser
 
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = set("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tr ul".split())
-HIDDEN = set("script style noscript iframe svg template head".split())
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+BLOCK = {"address", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tr", "ul"}
+HIDDEN = {"script", "style", "noscript", "iframe", "svg", "template", "head"}
 #: What an opening tag closes when it meets it open.
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 CLOSES |= {b: {"p"} for b in ("div", "ul", "ol", "table", "section", "article", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "form")}
@@ -226,7 +227,7 @@ def formatted_text(root: Node) -> str:
     return "\n".join(lines)
 
 
-CHROME = set("nav header footer aside form".split())
+CHROME = {"nav", "header", "footer", "aside", "form"}
 
 
 def main_content(root: Node) -> tuple[Node, str, float]:
@@ -369,6 +370,72 @@ def json_ld(root: Node) -> list:
     return out
 
 
+# fixed values: kinds of schema.org items in the order in which a type is tried, and their fields
+SCHEMA_KINDS = ["article", "organization", "person", "product", "event", "place", "website"]
+SCHEMA_FIELDS = {
+    "article": ["headline", "author", "datePublished", "dateModified", "description", "image", "publisher", "wordCount", "articleSection"],
+    "organization": ["name", "url", "logo", "description", "address", "telephone", "email", "foundingDate"],
+    "person": ["name", "givenName", "familyName", "jobTitle", "worksFor", "url", "image", "description"],
+    "product": ["name", "description", "image", "brand", "price", "currency", "availability", "sku", "gtin"],
+    "event": ["name", "description", "startDate", "endDate", "location", "organizer", "price", "url"],
+    "place": ["name", "address", "telephone", "url", "description", "geo", "openingHours"],
+    "website": ["name", "url", "description", "publisher", "inLanguage", "potentialAction"],
+}
+NAMED_FIELDS = {"author", "publisher", "worksFor", "brand", "location", "organizer"}
+OFFER_FIELDS = {"price": "price", "currency": "priceCurrency", "availability": "availability"}
+OTHER_NAMES = {"headline": ["name"], "gtin": ["gtin13", "gtin12", "gtin8"]}
+
+
+def schema_kind(item: dict) -> str | None:
+    """Kind of a schema.org item by what its type holds; a blog posting is an article."""
+    kind = item.get("@type") or ""
+    kind = " ".join(map(str, kind)).lower() if isinstance(kind, list) else str(kind).lower()
+    return "article" if "blogposting" in kind else next((k for k in SCHEMA_KINDS if k in kind), None)
+
+
+def schema_field(item: dict, kind: str, name: str):
+    """A field's value: the name of what it refers to, that of the offer, or that under another name; null if there is none."""
+    if name in OFFER_FIELDS and kind in ("product", "event"):
+        offers = item.get("offers") or {}
+        offers = offers[0] if isinstance(offers, list) and offers else offers
+        return offers.get(OFFER_FIELDS[name]) if isinstance(offers, dict) else None
+    value = next((v for n in (name, *OTHER_NAMES.get(name, [])) if (v := item.get(n))), None)
+    return value.get("name") if name in NAMED_FIELDS and isinstance(value, dict) else value
+
+
+def schema_items(root: Node) -> dict[str, dict | None]:
+    """The last item of each kind among a page's JSON-LD, by its fields; null where there is none."""
+    out: dict[str, dict | None] = dict.fromkeys(SCHEMA_KINDS)
+    for block in json_ld(root):
+        for item in block if isinstance(block, list) else block.get("@graph", [block]) if isinstance(block, dict) else []:
+            if isinstance(item, dict) and (kind := schema_kind(item)):
+                out[kind] = {f: schema_field(item, kind, f) for f in SCHEMA_FIELDS[kind]}
+    return out
+
+
+# fixed values: what a cleaned page loses, the attributes that it keeps, the elements that are no text but stay
+DROPPED = "script, noscript, style, link[rel=stylesheet], nav, header, footer, aside, .advertisement, .ads, .social-share, .popup, .modal"
+KEPT_ATTRIBUTES = ["href", "src", "alt", "title", "class", "id"]
+EMBEDDED = {"img", "video", "audio", "iframe"}
+
+
+def clean(root: Node) -> str:
+    """HTML without scripts, styles, comments, page furniture, other attributes and elements that hold nothing."""
+    gone = {id(n) for n in select(root, DROPPED)}
+
+    def holds(n: Node) -> bool:
+        return n.tag in EMBEDDED or any(c.strip() if isinstance(c, str) else id(c) not in gone and holds(c) for c in n.children)
+
+    def write(n: Node) -> str:
+        inner = "".join(escape(c, quote=False) if isinstance(c, str) else write(c) if id(c) not in gone and holds(c) else "" for c in n.children)
+        if n.tag == "#root":
+            return inner
+        attributes = "".join(f' {k}="{escape(n.attrs[k] or "")}"' for k in n.attrs if k in KEPT_ATTRIBUTES)
+        return f"<{n.tag}{attributes}>" if n.tag in VOID else f"<{n.tag}{attributes}>{inner}</{n.tag}>"
+
+    return write(root)
+
+
 #: Where a field is looked for when no hint is given.
 SEMANTIC = {
     "title": "h1, title, [itemprop=name]", "description": "meta[name=description]@content", "price": "[itemprop=price], .price, [data-price]", "author": "[rel=author], .author, [itemprop=author]", "date": "time, .date, [itemprop=datePublished]",

@@ -113,8 +113,8 @@ def headings(html: Column) -> Column:
 
 
 def images(html: Column) -> Column:
-    """Array of (src, alt, width, height) of images with a source."""
-    made = F.transform(tags(html, "img"), lambda t: F.struct(attribute(t, "src").alias("src"), attribute(t, "alt").alias("alt"), attribute(t, "width").alias("width"), attribute(t, "height").alias("height")))
+    """Array of (src, alt, title, width, height, loading, srcset) of images with a source."""
+    made = F.transform(tags(html, "img"), lambda t: F.struct(*(attribute(t, a).alias(a) for a in ("src", "alt", "title", "width", "height", "loading", "srcset"))))
     return F.filter(made, lambda i: i["src"] != "")
 
 
@@ -165,16 +165,37 @@ def site_section(path: Column) -> Column:
     return out.otherwise("other")
 
 
+# fixed values: colours by name
+COLOR_NAMES = {
+    "black": "#000000", "white": "#ffffff", "red": "#ff0000", "green": "#008000", "blue": "#0000ff", "yellow": "#ffff00", "orange": "#ffa500", "purple": "#800080",
+    "gray": "#808080", "grey": "#808080", "silver": "#c0c0c0", "maroon": "#800000", "navy": "#000080", "teal": "#008080", "olive": "#808000", "lime": "#00ff00", "aqua": "#00ffff", "fuchsia": "#ff00ff",
+}
+
+
 def color(value: Column) -> Column:
-    """#rrggbb of #rgb, #rgba, #rrggbb, #rrggbbaa, rgb() and rgba(); null for others."""
+    """#rrggbb of #rgb, #rgba, #rrggbb, #rrggbbaa, rgb(), rgba(), hsl(), hsla() and names; null for others."""
     v = F.lower(F.trim(value))
     digit = lambda i: F.repeat(F.substr(v, F.lit(i), F.lit(1)), F.lit(2))
-    channel = lambda i: F.lpad(F.lower(F.hex(F.least(F.lit(255), F.regexp_extract(v, r"^rgba?\(\s*(\d+)[\s,]+(\d+)[\s,]+(\d+)", i).try_cast("int")))), 2, "0")
-    return (
+    two = lambda x: F.lpad(F.lower(F.hex(F.least(F.lit(255), x))), 2, "0")
+    channel = lambda i: two(F.regexp_extract(v, r"^rgba?\(\s*(\d+)[\s,]+(\d+)[\s,]+(\d+)", i).try_cast("int"))
+    hsl = r"^hsla?\(\s*(\d+(?:\.\d+)?)(?:deg)?[\s,]+(\d+(?:\.\d+)?)%[\s,]+(\d+(?:\.\d+)?)%"
+    part = lambda i: F.regexp_extract(v, hsl, i).try_cast("double")
+
+    def mixed(x: Column) -> Column:
+        # a channel is l - s min(l, 1 - l) max(-1, min(k - 3, 9 - k, 1)) with k = (n + h / 30) mod 12
+        reach = x["s"] * F.least(x["l"], 1 - x["l"])
+        at = lambda n: _one((F.lit(float(n)) + x["h"] / 30) % 12, lambda k: two(F.round(255 * (x["l"] - reach * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0))))).cast("int")))
+        return F.concat(F.lit("#"), at(0), at(8), at(4))
+
+    out = (
         F.when(v.rlike(r"^#[0-9a-f]{3,4}$"), F.concat(F.lit("#"), digit(2), digit(3), digit(4)))
         .when(v.rlike(r"^#[0-9a-f]{6}([0-9a-f]{2})?$"), F.substring(v, 1, 7))
         .when(v.rlike(r"^rgba?\(\s*\d+[\s,]+\d+[\s,]+\d+"), F.concat(F.lit("#"), channel(1), channel(2), channel(3)))
+        .when(v.rlike(hsl), _one(F.struct(part(1).alias("h"), (part(2) / 100).alias("s"), (part(3) / 100).alias("l")), mixed))
     )
+    for name, code in COLOR_NAMES.items():
+        out = out.when(v == name, code)
+    return out
 
 
 SUSPICIOUS = {

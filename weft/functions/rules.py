@@ -112,11 +112,34 @@ def line_value(content: Column, key: str, kind: str = "string") -> Column:
 
 
 def summary_confidence(text: Column, summary: Column) -> Column:
-    """0.5 of the summary's words that the text has, 0.3 for a compression to a tenth to a half, 0.2 for over fifty characters."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3))
-    shared = T.let(F.struct(words(summary).alias("s"), words(text).alias("t")), lambda x: F.size(F.array_intersect(x["s"], x["t"])) / F.greatest(F.size(x["s"]), F.lit(1)))
-    ratio = F.length(summary) / F.greatest(F.length(text), F.lit(1))
-    return 0.5 * shared + F.when(ratio.between(0.1, 0.5), 0.3).otherwise(0.15) + F.when(F.length(summary) > 50, 0.2).otherwise(0.1)
+    """0.5 of the words that both share of the fewer, 0.3 for a fair compression (half of it else), 0.2 for a fair length (0.14 else)."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 2)
+
+    def score(x: Column) -> Column:
+        s, t = F.array_distinct(x["s"]), F.array_distinct(x["t"])
+        shared = F.size(F.array_intersect(s, t)) / F.greatest(F.least(F.size(s), F.size(t)), F.lit(1))
+        ratio = F.length(summary) / F.length(text)
+        whole = 0.5 * shared + 0.3 * F.when((ratio > 0.1) & (ratio < 0.8), 1.0).otherwise(0.5) + 0.2 * F.when(F.size(x["s"]).between(10, 200), 1.0).otherwise(0.7)
+        return F.when((F.size(x["s"]) == 0) | (F.size(x["t"]) == 0), 0.0).otherwise(T.round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), whole))))
+
+    return T.let(F.struct(words(summary).alias("s"), words(text).alias("t")), score)
+
+
+def page_language(declared: Column, header: Column, found: Column) -> Column:
+    """Struct of a page's language and confidence: declared by its element (0.3), by its header (0.25, which wins), found in its text.
+
+    ``found`` has language and confidence in per cent; it counts 0.6 where nothing is declared, else 0.2.
+    """
+    said = F.coalesce(F.nullif(header, F.lit("")), F.nullif(declared, F.lit("")))
+    base = F.when(F.coalesce(declared, F.lit("")) != "", 0.3).otherwise(0.0) + F.when(F.coalesce(header, F.lit("")) != "", 0.25).otherwise(0.0)
+    more = F.when(found["language"].isNull(), 0.0).otherwise(found["confidence"] / 100 * F.when(said.isNull(), 0.6).otherwise(0.2))
+    return F.struct(F.coalesce(said, found["language"]).alias("language"), (base + more).alias("confidence"))
+
+
+def evidence_score(priority: Column, content: Column, query: str) -> Column:
+    """1000 for a preferred source, and one for each word of the query over three letters that the content has."""
+    hits = sum((F.contains(F.lower(content), F.lit(t)).cast("int") for t in re.split(r"\s+", query.lower()) if len(t) > 3), F.lit(0))
+    return F.when(priority, 1000).otherwise(0) + hits
 
 
 def sanitized_url(url: Column) -> Column:

@@ -28,9 +28,11 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def fnv1a32(s: Column, basis: int) -> Column:
-    """FNV-1a over the characters of a string, as a non-negative long."""
-    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), F.ascii)
-    return F.aggregate(codes, F.lit(basis).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c.cast("long")) * F.lit(0x01000193).cast("long"), F.lit(1 << 32)))
+    """FNV-1a over the UTF-16 units of a string, as a non-negative long."""
+    units = F.hex(F.encode(s, "UTF-16BE"))
+    at = F.when(F.length(units) > 0, F.sequence(F.lit(1), F.length(units), F.lit(4))).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(at, lambda i: F.conv(F.substr(units, i, F.lit(4)), 16, 10).cast("long"))
+    return F.aggregate(codes, F.lit(basis).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(0x01000193).cast("long"), F.lit(1 << 32)))
 
 
 def simhash64(text: Column) -> Column:

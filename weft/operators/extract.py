@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FORMATS = ("text", "formatted", "markdown", "main_text", "method", "confidence", "microdata", "rdfa", "json_ld", "fields", "structured")
+FORMATS = ("text", "formatted", "markdown", "main_text", "method", "confidence", "microdata", "rdfa", "json_ld", "schema", "clean", "fields", "structured")
 
 
 def extract(pages: DataFrame, formats: tuple[str, ...] = ("markdown",), fields: dict[str, str] | None = None, schema: dict | None = None, hints: dict[str, str] | None = None, page_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -29,6 +29,7 @@ def extract(pages: DataFrame, formats: tuple[str, ...] = ("markdown",), fields:
         make = {
             "text": lambda: dom.block_text(root), "formatted": lambda: dom.formatted_text(root), "markdown": lambda: dom.markdown(node), "main_text": lambda: dom.block_text(node), "method": lambda: method, "confidence": lambda: str(confidence),
             "microdata": lambda: json.dumps(dom.microdata(root), ensure_ascii=False), "rdfa": lambda: json.dumps(dom.rdfa(root), ensure_ascii=False), "json_ld": lambda: json.dumps(dom.json_ld(root), ensure_ascii=False),
+            "schema": lambda: json.dumps(dom.schema_items(root), ensure_ascii=False), "clean": lambda: dom.clean(root),
             "fields": lambda: json.dumps(dom.scrape(root, fields or {}), ensure_ascii=False), "structured": lambda: json.dumps(dom.structured(root, schema or {}, hints), ensure_ascii=False),
         }
         return {f: make[f]() for f in formats}

@@ -37,3 +37,11 @@ def summary(calls: DataFrame, name: str, value: str, failed: Column) -> DataFram
 def in_range(series: DataFrame, column: str, start, end) -> DataFrame:
     """Rows of a time series from ``start`` to ``end``, both included."""
     return series.where(F.col(column).between(start, end))
+
+
+def service_metrics(calls: DataFrame, name: str, failed: Column, at: str, window_ms: int) -> DataFrame:
+    """name, calls, failures, successes and error rate in per cent of the calls within a window before the last of all."""
+    last = calls.agg(F.max(at).alias("m")).scalar()
+    recent = calls.where(F.col(at) >= last - window_ms)
+    out = recent.groupBy(name).agg(F.count("*").alias("calls"), F.count_if(failed).alias("failures"))
+    return out.select(name, "calls", "failures", (F.col("calls") - F.col("failures")).alias("successes"), F.round(100 * F.col("failures") / F.col("calls"), 4).alias("error_rate"))

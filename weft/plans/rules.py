@@ -16,9 +16,9 @@ from ..operators import entities as E
 from ..operators import metrics as M
 from ..operators.monitors import run_due
 from ..sources.tables import SEARCH_SQL, search_rows, spread, table, versions
-from .corpus import WORDS
+from .corpus import _LANG, SENTENCES, WORDS
 from .history import events
-from .site import _LIVE, _VERSIONS, PARTS
+from .site import _LIVE, _TEXT, _VERSIONS, PARTS
 
 Q: dict[str, tuple] = {}
 INCLUDE, EXCLUDE = [r"/en/", r"/fr/"], [r"page=\d"]
@@ -188,6 +188,36 @@ Q["page_baselines"] = (
 Q["entity_counts"] = (lambda s, d: E.entity_counts(E.with_entities(docs(s, d))), None)
 
 
+def _summary_confidence(s: SparkSession, d: str) -> DataFrame:
+    """Confidence in the first three sentences as a summary."""
+    lead = F.array_join(F.slice(T.sentences(F.col("text")), 1, 3), " ")
+    return docs(s, d).select("doc_id", K.summary_confidence(F.col("text"), lead).alias("confidence"))
+
+
+_LONG = r"list_filter(string_split_regex(lower({}), '\s+'), lambda w: length(w) > 2)"
+Q["summary_confidence"] = (
+    _summary_confidence,
+    rf"""with t as (select doc_id, text, array_to_string(({SENTENCES})[1:3], ' ') as s from documents), w as (select *, {_LONG.format('s')} as sw, {_LONG.format('text')} as tw from t),
+c as (select *, list_distinct(sw) as su, list_distinct(tw) as tu, length(s) / length(text) as r from w)
+select doc_id, case when len(sw) = 0 or len(tw) = 0 then 0 else floor(greatest(0, least(1, 0.5::double * len(list_intersect(su, tu)) / least(len(su), len(tu)) + 0.3::double * case when r > 0.1::double and r < 0.8::double then 1 else 0.5::double end + 0.2::double * case when len(sw) between 10 and 200 then 1 else 0.7::double end)) * 100 + 0.5) / 100 end as confidence from c""",
+)
+Q["page_language"] = (
+    lambda s, d: pages(s, d).select("page_id", H.language(F.col("html")).alias("declared"), T.language(H.text(F.col("html"))).alias("found")).select("page_id", K.page_language(F.col("declared"), F.lit(""), F.col("found")).alias("x")).select("page_id", "x.language", F.round("x.confidence", 6).alias("confidence")),
+    rf"""with t as (select page_id, {_TEXT} as text, lower(regexp_extract({_LIVE}, '(?is)<html\b[^>]*\slang\s*=\s*["'']?([^\s"''>]+)', 1)) as declared from pages), h as (select page_id, declared, len({WORDS}) as n, {_LANG} from t), g as (select *, greatest({', '.join(L.STOP_WORDS)}) as top from h),
+f as (select page_id, declared, case when top = 0 then null {' '.join(f"when {x} = top then '{x}'" for x in L.STOP_WORDS)} end as language, least(95, floor(top / greatest(n, 1) * 250 + 0.5)) as c from g)
+select page_id, coalesce(nullif(declared, ''), language) as language, round(case when declared <> '' then 0.3::double else 0 end + case when language is null then 0 else c / 100 * case when declared <> '' then 0.2::double else 0.6::double end end, 6) as confidence from f""",
+)
+EVIDENCE = "studies of that language with data"
+Q["evidence_order"] = (
+    lambda s, d: search_rows(docs(s, d)).select("doc_id", K.evidence_score(U.host(F.col("link")).endswith(".edu"), F.concat_ws(" ", "link", "title", "snippet"), EVIDENCE).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(20),
+    "with " + SEARCH_SQL + ", e as (select doc_id, lower(link || ' ' || title || ' ' || snippet) as c, split_part(split_part(link, '//', 2), '/', 1) like '%.edu' as p from rows) select doc_id, (case when p then 1000 else 0 end + " + " + ".join(f"contains(c, '{t}')::int" for t in EVIDENCE.split() if len(t) > 3) + ")::int as score from e order by score desc, doc_id limit 20",
+)
+Q["service_metrics"] = (
+    lambda s, d: M.service_metrics(events(s, d), "user_id", F.col("event_type") == "error", "ms", 5 * 86_400_000),
+    "with e as (select user_id, event_type, epoch_us(ts) / 1000 as ms from events) select user_id, count(*) as calls, count(*) filter (where event_type = 'error') as failures, count(*) filter (where event_type <> 'error') as successes, round(100 * count(*) filter (where event_type = 'error') / count(*), 4) as error_rate from e where ms >= (select max(ms) from e) - 432000000 group by user_id",
+)
+
+
 def _sql_functions(s: SparkSession, d: str) -> DataFrame:
     """The registered SQL functions over documents and pages, as an SQL user calls them."""
     REG.register(s)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,21 +71,68 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return named.unionByName(common).distinct()
 
 
+def robots_sections(robots: DataFrame, agent: str = "*") -> DataFrame:
+    """host and the lines of the group for an agent: its own, else that of all agents; agents named in a row share a group."""
+    line = F.trim(F.regexp_replace(F.col("line"), r"\s*#.*$", ""))
+    lines = robots.select("host", F.posexplode(F.split(F.regexp_replace("body", "\r\n?", "\n"), "\n")).alias("pos", "line")).select("host", "pos", line.alias("line")).where("line <> ''")
+    key, value = F.lower(F.trim(F.substring_index("line", ":", 1))), F.trim(F.expr("substr(line, instr(line, ':') + 1)"))
+    rows = lines.select("host", "pos", key.alias("key"), value.alias("value"))
+    w = W.partitionBy("host").orderBy("pos")
+    opens = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(w), F.lit("")) != "user-agent")
+    rows = rows.withColumn("opens", opens.cast("int")).withColumn("section", F.sum("opens").over(w))
+    own = rows.where("key = 'user-agent'").select("host", "section", F.when(F.lower("value") == agent.lower(), 1).when(F.col("value") == "*", 0).alias("fit")).where("fit is not null")
+    best = own.groupBy("host").agg(F.max("fit").alias("best"))
+    chosen = own.join(best, "host").where("fit = best").select("host", "section").distinct()
+    return rows.where("key <> 'user-agent'").join(chosen, ["host", "section"]).select("host", "key", "value")
+
+
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
-    """host, allow and prefix of the rules for an agent."""
-    sections = F.filter(F.split(F.col("body"), r"(?im)^(?=\s*user-agent:)"), lambda s: F.lower(F.trim(F.regexp_extract(s, r"(?im)^\s*user-agent:\s*(\S+)", 1))) == agent.lower())
-    line = robots.select("host", F.explode(sections).alias("s")).select("host", F.explode(F.regexp_extract_all("s", F.lit(r"(?im)^\s*(?:dis)?allow:[ \t]*\S+"), F.lit(0))).alias("l"))
-    return line.select("host", (~F.lower(F.col("l")).rlike(r"^\s*disallow")).alias("allow"), F.trim(F.regexp_extract("l", r":\s*(\S+)", 1)).alias("prefix"))
+    """host, allow, prefix and pattern of the rules for an agent; * stands for anything and a final $ for the end of the path."""
+    rows = robots_sections(robots, agent).where("key in ('allow', 'disallow') and value <> ''")
+    quoted = F.regexp_replace("value", r"([\\.+?()\[\]{}|^])", r"\\$1")
+    pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\$(?!$)", r"\\\$"))
+    return rows.select("host", (F.col("key") == "allow").alias("allow"), F.col("value").alias("prefix"), pattern.alias("pattern"))
+
+
+def crawl_delays(robots: DataFrame, agent: str = "*") -> DataFrame:
+    """host and seconds between two requests, where its robots file asks for them."""
+    return robots_sections(robots, agent).where("key = 'crawl-delay'").groupBy("host").agg(F.max(F.col("value").try_cast("double")).alias("delay"))
 
 
 def allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
     """url and allowed: the longest matching rule decides, allow before disallow; no robots file or rule allows."""
-    rows = urls.select("url", U.host(F.col("url")).alias("host"), U.path(F.col("url")).alias("path"))
-    hits = rows.join(robots_rules(robots, agent), "host").where(F.startswith("path", "prefix"))
+    rows = urls.select("url", U.host(F.col("url")).alias("host"), F.concat(U.path(F.col("url")), F.when(U.query(F.col("url")) != "", F.concat(F.lit("?"), U.query(F.col("url")))).otherwise("")).alias("path"))
+    hits = rows.join(robots_rules(robots, agent), "host").where(F.expr("path rlike pattern"))
     best = hits.groupBy("url").agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("allow"))
     return rows.join(best, "url", "left").select("url", F.coalesce("allow", F.lit(True)).alias("allowed"))
 
 
+def sitemap_media(files: DataFrame) -> DataFrame:
+    """loc, kind (image, video, news), address, title and date of what the <url> entries of sitemaps carry."""
+    def entries(block: Column, kind: str, tag: str, address: str, date: str) -> Column:
+        return F.transform(_blocks(block, tag), lambda b: F.struct(F.lit(kind).alias("kind"), _inner(b, address).alias("address"), _inner(b, f"{tag.split(':')[0]}:title").alias("title"), _inner(b, date).alias("date")))
+
+    every = lambda b: F.concat(entries(b, "image", "image:image", "image:loc", "image:date"), entries(b, "video", "video:video", "video:content_loc", "video:publication_date"), entries(b, "news", "news:news", "news:name", "news:publication_date"))
+    rows = files.select("url", F.explode(F.transform(_blocks(F.col("xml"), "url"), lambda b: F.struct(_inner(b, "loc").alias("loc"), every(b).alias("m")))).alias("e"))
+    return rows.select("url", F.col("e.loc").alias("loc"), F.explode("e.m").alias("m")).select("url", "loc", "m.*")
+
+
+def unpacked(files: DataFrame) -> DataFrame:
+    """url and xml of sitemap files read as bytes (url, content), those that are gzip packed included; bad ones give null."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for data in batch.column(1).to_pylist():
+                try:
+                    data = gzip.decompress(data) if data and data[:2] == b"\x1f\x8b" else data
+                    out.append(None if data is None else data.decode("utf-8", "replace"))
+                except (OSError, EOFError, zlib.error):
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["url", "xml"])
+
+    return files.select("url", "content").mapInArrow(run, "url string, xml string")
+
+
 def serp_positions(items: DataFrame, target: str) -> DataFrame:
     """keyword, best and all positions of a domain among organic items; missing ranks last."""
     bare = U.bare_domain(F.lit(target))
