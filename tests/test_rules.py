@@ -115,6 +115,24 @@ def test_result_lists_against_brute_force(spark):
     assert sum(s.removed for s in stats) == len(data) - len(out)
 
 
+def test_result_lists_against_their_sql_beyond_ascii(spark):
+    import duckdb
+
+    from weft.plans import search
+    from weft.sources.tables import RESULT_LISTS_SQL
+
+    titles = ["Échpaan trepa.", "Et treêaux treleai pourenêaire.", "De la èamentch", "de la eamentch", "Was.", "Éaux en, éreon laèelle."]
+    data = [(1, i + 1, 4 * i, t, f"wörter 😀 von\x0bheute {'😁' if i % 2 else 'und'} morgen", f"https://sité.edu/doc/{4 * i}") for i, t in enumerate(titles)]
+    df = spark.createDataFrame(data, "query_id long, position int, doc_id long, title string, snippet string, link string")
+    got = dedup.duplicate_pairs(dedup.lists(df)).select("query_id", "a", "b", *(F.round(c, 6) for c in ("url", "title", "content", "combined")), "reason").collect()
+    db = duckdb.connect()
+    db.execute("create table lists (query_id bigint, position int, doc_id bigint, title varchar, snippet varchar, link varchar)")
+    db.executemany("insert into lists values (?, ?, ?, ?, ?, ?)", data)
+    sql = search.Q["duplicate_pairs"][1].removeprefix(f"with {RESULT_LISTS_SQL},")
+    want = db.execute(f"with {sql.lstrip()}").fetchall()
+    assert len(want) > 5 and sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_monitors_metrics_and_graph_helpers(spark):
     m = spark.createDataFrame([(1, 100, 50, True), (2, 100, 950, True), (3, 10, 0, False), (4, 100, 2000, True)], "id long, interval long, next_due long, enabled boolean")
     assert [tuple(r) for r in monitors.run_due(m, 1000).orderBy("id").collect()] == [(1, True, 9, 1050), (2, True, 0, 1050), (3, False, 0, 0), (4, False, 0, 2000)]
