@@ -314,3 +314,22 @@ def test_long_texts_score_and_encode_alike_in_parts():
     one = toxicity.word_scores(toxicity.word_stream([text]), table, -0.1)
     many = np.concatenate([toxicity.word_scores(toxicity.word_stream([p]), table, -0.1) for p in cut])
     assert np.allclose(np.sort(one), np.sort(many), atol=1e-3)
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_a_band_of_unlike_texts_keeps_every_similar_pair(spark, monkeypatch, block):
+    from weft.llm import overlap, simhash
+
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(30)]
+    docs = spark.createDataFrame([(2 * i + k, t + tail) for i, t in enumerate(texts) for k, tail in enumerate((" one", " two"))], "id long, text string")
+    prints = lambda column: simhash.fingerprints(column, 3)
+    rows = overlap.described(docs.select("id", F.col("text").alias("t"), F.xxhash64("text").alias("x")), ["id", "x"], 5, prints)
+    rows = rows.withColumn("bands", F.array_repeat(F.lit(1).cast("long"), overlap.BANDS))
+    none = spark.createDataFrame([], "node long, root long")
+    stars = {r.node: r.root for r in overlap.join_components(docs, "text", rows, none, simhash.components, prints).collect()}
+    by_root = {}
+    for r in rows.select("id", "fp").collect():
+        by_root.setdefault(stars.get(r.fp, r.fp), []).append(r.id // 2)
+    assert len(by_root) == 30 and all(len(v) == 2 and v[0] == v[1] for v in by_root.values())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -116,13 +116,17 @@ def _sets(texts: DataFrame, size: int, fingerprints: Callable) -> DataFrame:
     return map_texts(texts, run, "x long, fp long, s array<long>")
 
 
+def _rooted(known: DataFrame, stars: DataFrame) -> DataFrame:
+    return known.join(stars, F.col("fp") == F.col("node"), "left").select("x", "fp", F.coalesce("root", "fp").alias("root"), "bands")
+
+
 def _candidates(known: DataFrame, stars: DataFrame, step: int) -> DataFrame:
     """Pairs (a, b) of texts of a shared band that are not in one group yet: each text with one of its band, and with its
     neighbour in the order of the band that follows.
 
     A band of m texts gives at most 2 m pairs, however many of them are alike; another text leads in each round.
     """
-    rooted = known.join(stars, F.col("fp") == F.col("node"), "left").select("x", "fp", F.coalesce("root", "fp").alias("root"), "bands")
+    rooted = _rooted(known, stars)
     post = rooted.select("x", "fp", "root", "bands", F.posexplode("bands").alias("band", "key"))
     post = post.select("key", "x", "fp", "root", F.xxhash64(F.element_at("bands", (F.col("band") + 1 + step) % BANDS + 1), F.lit(step)).alias("o"))
     w, text_of = W.partitionBy("key"), F.struct("x", "fp", "root")
@@ -141,11 +145,45 @@ def _maybe(pairs: DataFrame, known: DataFrame, least: tuple[int, int]) -> DataFr
     """
     num, den = least
     side = lambda e: known.select(F.struct("x", "fp").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"v{e}"))
-    both = pairs.join(side("a"), "a").where("na > 0").join(side("b"), "b").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
+    both = pairs.join(side("a"), "a").where("na > 0").join(side("b"), "b").where(_sizes(num, den))
+    return both.where(_near(num, den)).select("a", "b")
+
+
+def _sizes(num: int, den: int) -> Column:
+    """Sets of na and nb shingles may be as similar as asked."""
+    return (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
+
+
+def _near(num: int, den: int) -> Column:
+    """So may sets of parity bits va and vb."""
     half = lambda v: F.zip_with(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2 + 1).cast("int"), (F.size(v) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
     fold = lambda v, o: F.when(F.size(v) > F.size(o), half(v)).otherwise(v)
     apart = F.aggregate(F.zip_with(fold(F.col("va"), F.col("vb")), fold(F.col("vb"), F.col("va")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+    return apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)
+
+
+#: Texts of a band that one task compares with as many others; larger bands are dealt out by pairs of such blocks.
+BLOCK = 1024
+
+
+def _rest(known: DataFrame, stars: DataFrame, least: tuple[int, int]) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs and the tables that they are read from: all pairs (a, b) that share a band, are not in one group yet and may be as similar as asked: what the rounds left over.
+
+    Bands whose texts are one group make no pairs.  A pair is made in the first band that it shares, and sizes and
+    parity bits decide where it is made, so only those that may be similar leave the join.
+    """
+    post = _rooted(known, stars).select("x", "fp", "root", F.posexplode("bands").alias("band", "key"))
+    open_ = materialize(post.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).where("lo <> hi").select("key", "nb"), "open")
+    block = F.pmod(F.xxhash64("x", "fp", F.lit(7)), F.col("nb")).cast("int")
+    own = post.join(open_, "key").select("x", "fp", "root", "band", "key", "nb", block.alias("block"))
+    own = materialize(own.join(known, ["x", "fp"]).select(own["*"], "n", "bits", "bands"), "rest")
+    side = lambda e, other: own.select("key", F.struct("x", "fp").alias(e), F.col("root").alias(f"r{e}"), "band", F.col("n").alias(f"n{e}"), F.col("bits").alias(f"v{e}"), F.col("bands").alias(f"k{e}"), "block", F.explode(other).alias("other"))
+    p = side("a", F.sequence("block", F.col("nb") - 1)).withColumnsRenamed({"block": "lo", "other": "hi"})
+    q = side("b", F.sequence(F.lit(0), "block")).withColumnsRenamed({"block": "hi", "other": "lo", "key": "key_b", "band": "band_b"}).withColumnsRenamed({"lo": "lo_b", "hi": "hi_b"})
+    met = (F.col("key") == F.col("key_b")) & (F.col("lo") == F.col("lo_b")) & (F.col("hi") == F.col("hi_b"))
+    met &= ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))) & (F.col("ra") != F.col("rb")) & _sizes(*least)
+    met &= F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+    return p.join(q, met & _near(*least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), [open_, own]
 
 
 #: Texts to compare up to this number (8 MB of hashes) are broadcast to find their texts; more meet them by a shuffle.
@@ -166,7 +204,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, size: int, least: tuple[int, i
     return found
 
 
-#: Rounds of candidates; a round that finds no new pair is the last.
+#: Rounds of candidates by leaders and neighbours; a round that finds no new pair is the last.  The rest is compared after them.
 ROUNDS = 3
 
 
@@ -174,9 +212,8 @@ def join_components(docs: DataFrame, text: str, rows: DataFrame, stars: DataFram
     """(node, root) as ``stars``, with the fingerprints of texts joined whose Jaccard similarity is ``least`` or more.
 
     ``rows`` is what ``described`` makes with a hash x of the text; a text is known by x and fp.  Candidates share a
-    MinHash band; every link is a pair whose whole sets were compared.  The number of pairs stays in proportion to
-    the texts, so a pair that shares a band is compared directly only if one leads the band or is next to the
-    other in some round; others are joined through those, or are missed (the README has the measured recall).
+    MinHash band; every link is a pair whose whole sets were compared.  The rounds join most texts by pairs in
+    proportion to their number; then every pair that shares a band and is in two groups still is compared.
     """
     texts = _hashed(docs, text)
     known = materialize(rows.where("n > 0").select("x", "fp", "n", "bits", "bands").dropDuplicates(["x", "fp"]), "texts")
@@ -196,6 +233,12 @@ def join_components(docs: DataFrame, text: str, rows: DataFrame, stars: DataFram
             stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found.select(F.col("u").alias("a"), F.col("v").alias("b"))))
             discard(found)
         discard(maybe)
-    for table in (*held, known):
+    rest, read = _rest(known, stars, least)
+    rest, seen = counted(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti"), "left")
+    if seen["n"]:
+        found = _verified(texts, rest, size, least, fingerprints)
+        stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+        discard(found)
+    for table in (*held, *read, rest, known):
         discard(table)
     return stars
