@@ -200,3 +200,23 @@ def test_schema_items_clean_html_and_colours(spark):
     colors = ["#ABC", "rgb(1, 2, 300)", "hsl(120, 100%, 25%)", "hsl(0, 0%, 50%)", "hsla(240deg 100% 50% / .5)", "Navy", "none"]
     got = [r.c for r in spark.createDataFrame(list(enumerate(colors)), "i int, v string").select("i", html.color(F.col("v")).alias("c")).orderBy("i").collect()]
     assert got == ["#aabbcc", "#0102ff", "#008000", "#808080", "#0000ff", "#000080", None] and json.dumps(got)
+
+
+def test_blocks_of_a_diff_against_difflib_and_in_time():
+    import difflib
+    import time
+
+    rng = random.Random(4)
+    for n in range(300):
+        kinds = rng.choice([2, 3, 12, 200])
+        a = [str(rng.randrange(kinds)) for _ in range(rng.randrange(120))]
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(9)] = [str(rng.randrange(kinds)) for _ in range(rng.randrange(9))]
+        b = b if n % 3 else [str(rng.randrange(kinds)) for _ in range(rng.randrange(120))]
+        assert changes._Blocks(a, b).get_opcodes() == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    page = [w for i in range(8000) for w in (f"w{i % 3000}", " ")]
+    began = time.time()
+    runs = changes.diff(page, [*page[:5000], "new", " ", *page[5200:]])
+    assert [r["count"] for r in runs] and time.time() - began < 4
