@@ -220,3 +220,16 @@ def test_blocks_of_a_diff_against_difflib_and_in_time():
     began = time.time()
     runs = changes.diff(page, [*page[:5000], "new", " ", *page[5200:]])
     assert [r["count"] for r in runs] and time.time() - began < 4
+
+
+def test_entities_are_read_once_and_counted_by_kind(spark):
+    from weft.operators import entities as named
+
+    text = "Dr. Jane Stone of the River Institute (RI) paid $5 in Paris. River water. On May 4, 2024 Cloud said: 'Cloud ACME, Inc. won'."
+    docs = spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")
+    found = named.with_entities(docs)
+    counts = named.entity_counts(found)
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = {(k, e.lower()) for k in named.KINDS for e in entities.extract(text)[k]}
+    assert {(r.kind, r.entity, r.n) for r in counts.collect()} == {(k, e, 2) for k, e in want} and len({k for k, _ in want}) >= 5
+    assert entities.organisation_acronyms(text) == {"RI", "ACME"} and entities.words_of("A. River ran. The River’s Edge. Then") == ({"A", "River", "ran", "The", "s", "Edge", "Then"}, {"River", "Edge"})
